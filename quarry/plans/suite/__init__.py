@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_index"]
+MODULES = ["text_index", "search"]
 
 
 def _load():

@@ -85,13 +85,13 @@ def tx9(spark, sf):
 
 
 @query("tx10_query_syntax", r"""SELECT item_id AS query_id, trim(text) AS phrase,
-array_to_string([w for w in regexp_split_to_array(upper(text), '\s+') if w NOT IN ('', 'AND', 'OR', 'NOT')], ' ') AS words
+array_to_string([w for w in regexp_split_to_array(text || ' AND x OR NOT y', '\s+') if w NOT IN ('', 'AND', 'OR', 'NOT')], ' ') AS words
 FROM benchmark""")
 def tx10(spark, sf):
     q = bench_queries(spark, sf)
     quoted = F.concat(F.lit(' "'), "query", F.lit('" '))
     return q.select(
-        "query_id", tx.phrase_text(quoted).alias("phrase"), tx.analysis_text(F.upper("query"), "boolean").alias("words")
+        "query_id", tx.phrase_text(quoted).alias("phrase"), tx.analysis_text(F.concat("query", F.lit(" AND x OR NOT y")), "boolean").alias("words")
     )
 
 
