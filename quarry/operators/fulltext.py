@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import boolean, phrase, ranked
 from quarry.operators.index import Index
-from quarry.scale import small
+from quarry.scale import exact_sum, small
 
 
 def search(index: Index, queries: DataFrame, k: int, zone: str = "body",
@@ -31,7 +31,7 @@ def search(index: Index, queries: DataFrame, k: int, zone: str = "body",
         "need is null or have = need").select("query_id", "doc_id")
     bare = queries.select("query_id", F.regexp_replace("query", r"(^|\s)-\S+", " ").alias("query"))
     rows = ranked.contributions(index, bare, scheme="tfidf", zone_weights={zone: 1.0})
-    scores = rows.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
+    scores = rows.groupBy("query_id", "doc_id").agg(exact_sum("weight").alias("score"))
     scores = scores.join(matched, ["query_id", "doc_id"], "left_semi")
     if sections is not None:
         scores = scores.join(doc_sections.select("doc_id", "section_id"), "doc_id").join(

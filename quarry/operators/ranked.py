@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators.index import Index, champions, log_tf
-from quarry.scale import by_score, is_small, lookup_join, salted_join, small, top_k
+from quarry.scale import exact_sum, is_small, lookup_join, salted_join, small, top_k
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -109,7 +109,7 @@ def contributions(
 
 def rank_scores(scores: DataFrame, k: int | None) -> DataFrame:
     """Positive scores only; ties by ascending document id."""
-    return top_k(scores.filter(F.col("score") > 0), ["query_id"], [by_score(), F.col("doc_id")], k)
+    return top_k(scores.filter(F.col("score") > 0), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
 def search(index: Index, queries: DataFrame, k: int | None = 10, explain: bool = False, **options) -> DataFrame:
@@ -117,7 +117,7 @@ def search(index: Index, queries: DataFrame, k: int | None = 10, explain: bool =
     if k is not None and k <= 0:
         queries = queries.filter(F.lit(False))
     rows = contributions(index, queries, **options)
-    parts = [F.sum("weight").alias("score")]
+    parts = [exact_sum("weight").alias("score")]
     if explain:
         order = F.struct((-F.col("weight")).alias("o"), "zone", "term", "tf", "idf", "weight")
         parts.append(F.array_sort(F.collect_list(order)).alias("explanation"))
@@ -140,7 +140,7 @@ def lexical_channel(
     lengths stay global; ``sections`` has ``query_id, section_id``."""
     weights = {"heading": heading_weight, "body": 1.0}
     rows = contributions(index, queries, scheme=scheme, zone_weights=weights)
-    scores = rows.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
+    scores = rows.groupBy("query_id", "doc_id").agg(exact_sum("weight").alias("score"))
     if sections is not None:
         scores = scores.join(doc_sections.select("doc_id", "section_id"), "doc_id").join(
             small(sections.select("query_id", "section_id").distinct()), ["query_id", "section_id"], "left_semi"

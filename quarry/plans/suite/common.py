@@ -184,6 +184,6 @@ kept AS (SELECT * FROM qterms WHERE idf > {threshold}),
 active AS (SELECT *, sqrt(sum(((1 + log10(qtf)) * idf) ** 2) OVER (PARTITION BY query_id)) AS qnorm FROM kept){champ},
 contrib AS (SELECT a.query_id, p.doc_id, p.zone, p.term, p.tf, a.idf, zw.zw * {value} AS weight
   FROM active a JOIN postings p USING (term) JOIN zw USING (zone) JOIN zone_stats s USING (zone) {pool}),
-scores AS (SELECT query_id, doc_id, sum(weight) AS score FROM contrib GROUP BY ALL HAVING sum(weight) > 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id) AS rank FROM scores)
+scores AS (SELECT query_id, doc_id, sum(CAST(round(weight * 1e12) AS BIGINT)) / 1e12 AS score FROM contrib GROUP BY ALL HAVING sum(weight) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)
 """

@@ -122,7 +122,7 @@ def rk11(spark, sf):
 
 @query("rk12_lexical_channel", BASE + scores_sql("tfidf", "(VALUES ('heading', 2.0), ('body', 1.0))") + """, wanted AS
 (SELECT b.item_id AS query_id, d.source FROM benchmark b JOIN (SELECT DISTINCT source FROM documents) d ON ascii(right(d.source, 1)) % 3 = b.item_id % 3)
-SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id) AS INTEGER) AS rank
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
 FROM scores JOIN documents d USING (doc_id) JOIN wanted w USING (query_id, source) QUALIFY rank <= 25""")
 def rk12(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("section_id"))
@@ -403,9 +403,9 @@ banned AS (SELECT DISTINCT query_id, doc_id FROM nterm JOIN postings USING (term
 matched AS (SELECT * FROM fm ANTI JOIN banned USING (query_id, doc_id)),
 fq AS (SELECT query_id, term, count(*) AS qtf FROM fterms GROUP BY ALL),
 fa AS (SELECT q.*, d.idf, sqrt(sum(((1 + log10(qtf)) * idf) ** 2) OVER (PARTITION BY query_id)) AS qn FROM fq q JOIN dictionary d USING (term) WHERE d.idf > 0),
-fs AS (SELECT a.query_id, p.doc_id, sum((1 + log10(a.qtf)) * a.idf / a.qn * (1 + log10(p.tf)) / p.norm) AS score FROM fa a JOIN postings p USING (term)
+fs AS (SELECT a.query_id, p.doc_id, sum(CAST(round(((1 + log10(a.qtf)) * a.idf / a.qn * ((1 + log10(p.tf)) / p.norm)) * 1e12) AS BIGINT)) / 1e12 AS score FROM fa a JOIN postings p USING (term)
   WHERE p.zone = 'body' GROUP BY ALL)
-SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id) AS INTEGER) AS rank
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
 FROM fs SEMI JOIN matched USING (query_id, doc_id) QUALIFY rank <= 10""")
 def ft1(spark, sf):
     q = _bench_words(spark, sf).select(F.col("item_id").alias("query_id"), _parts('"', 4, " ", 5, " ", 6, '" -', 12).alias("query"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
-SCORE_DIGITS = 10  # ranks compare scores at this precision, so summation order cannot flip ties
+SCORE_DIGITS = 10  # distances are compared at this precision
+SCORE_UNIT = 1e12
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -167,5 +168,8 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int |
     return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
-def by_score(score: str = "score") -> Column:
-    return F.round(F.col(score), SCORE_DIGITS).desc()
+def exact_sum(value: str | Column) -> Column:
+    """Sum in integer units of 1e-12. Integer addition gives the same total in any order, so
+    equal documents get equal scores however their parts were spread over tasks."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.sum(F.round(c * SCORE_UNIT).cast("bigint")) / F.lit(SCORE_UNIT)
