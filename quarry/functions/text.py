@@ -170,3 +170,9 @@ def analysis_text(query: str | Column, mode: str) -> Column:
     if mode == "boolean":
         return F.array_join(F.filter(words(query), lambda w: ~w.isin("AND", "OR", "NOT")), " ")
     return phrase_text(query) if mode == "phrase" else _col(query)
+
+
+def strict_json(text: Column) -> Column:
+    """The text as one JSON value; null when it is malformed or has anything after the value."""
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+    return F.when(F.json_array_length(wrapped) == 1, F.try_variant_get(F.try_parse_json(wrapped), "$[0]", "variant"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_index", "search", "dense_eval"]
+MODULES = ["text_index", "search", "dense_eval", "ingestion"]
 
 
 def _load():
