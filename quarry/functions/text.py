@@ -172,7 +172,14 @@ def analysis_text(query: str | Column, mode: str) -> Column:
     return phrase_text(query) if mode == "phrase" else _col(query)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strict_json(text: Column) -> Column:
     """The text as one JSON value; null when it is malformed or has anything after the value."""
-    wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    return F.when(F.json_array_length(wrapped) == 1, F.try_variant_get(F.try_parse_json(wrapped), "$[0]", "variant"))
+    return bind(
+        F.concat(F.lit("["), text, F.lit("]")),
+        lambda w: F.when(F.json_array_length(w) == 1, F.try_variant_get(F.try_parse_json(w), "$[0]", "variant")),
+    )

@@ -9,7 +9,7 @@ from quarry.functions import text as tx
 
 SNIPPET_WIDTH = 320
 NOT_IN_WORD = r"[\p{L}\p{N}]"
-_GAP = "﷐"  # a Unicode noncharacter, reserved for process-internal use
+_GAP = "\ufdd0"  # a Unicode noncharacter, reserved for process-internal use
 
 
 def surface_forms(hits: DataFrame, stemmer: str = "porter") -> DataFrame:

@@ -143,21 +143,24 @@ def enrichment_prompts(docs: DataFrame, sections: DataFrame, limit: int = SECTIO
 
 def parse_enrichment(response: str | Column) -> Column:
     """``(summary, topics)`` from a model's JSON object; null when it cannot be parsed."""
-    raw = tx.strip(response)
-    fenced = tx.strip(F.regexp_replace(tx.strip(F.regexp_replace(F.regexp_replace(raw, "^`+", ""), "^[json]+", "")), "`+\\z", ""))
-    body = F.when(raw.startswith("```"), fenced).otherwise(raw)
-    json = tx.strict_json(body)
-    field = lambda name, t: F.try_variant_get(json, f"$.{name}", t)
-    summary = F.when(F.schema_of_variant(field("summary", "variant")) == "STRING", field("summary", "string"))
-    given = F.slice(F.coalesce(field("topics", "array<string>"), F.array().cast("array<string>")), 1, 5)
-    topics = F.filter(given, lambda t: t.isNotNull() & (t != ""))
-    return F.when(
-        F.schema_of_variant(json).startswith("OBJECT"),
-        F.struct(
-            F.substring(tx.strip(F.coalesce(summary, F.lit(""))), 1, 2000).alias("summary"),
-            F.transform(topics, lambda t: F.substring(tx.strip(t), 1, 80)).alias("topics"),
-        ),
-    )
+    def without_fence(raw: Column) -> Column:
+        opened = tx.strip(F.regexp_replace(F.regexp_replace(raw, "^`+", ""), "^[json]+", ""))
+        return F.when(raw.startswith("```"), tx.strip(F.regexp_replace(opened, "`+\\z", ""))).otherwise(raw)
+
+    def read(json: Column) -> Column:
+        field = lambda name, t: F.try_variant_get(json, f"$.{name}", t)
+        summary = F.when(F.schema_of_variant(field("summary", "variant")) == "STRING", field("summary", "string"))
+        given = F.slice(F.coalesce(field("topics", "array<string>"), F.array().cast("array<string>")), 1, 5)
+        topics = F.filter(given, lambda t: t.isNotNull() & (t != ""))
+        return F.when(
+            F.schema_of_variant(json).startswith("OBJECT"),
+            F.struct(
+                F.substring(tx.strip(F.coalesce(summary, F.lit(""))), 1, 2000).alias("summary"),
+                F.transform(topics, lambda t: F.substring(tx.strip(t), 1, 80)).alias("topics"),
+            ),
+        )
+
+    return tx.bind(tx.strict_json(tx.bind(tx.strip(response), without_fence)), read)
 
 
 def split_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ CHUNK_CHARS = 1000
 MIN_CHARS_PER_PAGE = 20
 WINDOW_CHARS = 24_000
 WINDOW_OVERLAP = 500
-MARK = "﷐"  # a Unicode noncharacter, reserved for process-internal use
+MARK = "\ufdd0"  # a Unicode noncharacter, reserved for process-internal use
 _S = tx.BLANK
 
 # Heading lines and headings that carry no structure.
@@ -252,21 +252,25 @@ def extractor_windows(docs: DataFrame, size: int = WINDOW_CHARS) -> DataFrame:
 
 def parse_headings(response: str | Column) -> Column:
     """Array of ``(heading, level)`` from a model's JSON; null when it is not a JSON array."""
-    raw = tx.strip(response)
-    fenced = F.regexp_replace(F.regexp_replace(raw, r"^```[^\n]*\n", ""), f"(?U)```\\z", "")
-    body = F.when(raw.startswith("```"), fenced).otherwise(raw)
-    json = tx.strict_json(body)
-    items = F.when(F.schema_of_variant(json).startswith("ARRAY"), json.try_cast("array<variant>"))
-    kind = lambda x, f: F.schema_of_variant(F.try_variant_get(x, f, "variant"))
-    read = F.transform(items, lambda x: F.struct(
-        tx.strip(F.try_variant_get(x, "$.heading", "string")).alias("heading"),
-        F.try_variant_get(x, "$.level", "int").alias("level"),
-        (F.coalesce(kind(x, "$.heading"), F.lit("")) == "STRING").alias("text"),
-        (F.coalesce(kind(x, "$.level"), F.lit("")) == "BIGINT").alias("whole"),
-    ))
-    usable = F.filter(read, lambda x: x["text"] & x["whole"] & (x["heading"] != "") & (F.length(x["heading"]) <= 300))
-    return F.transform(usable, lambda x: F.struct(
-        x["heading"].alias("heading"), F.greatest(F.lit(1), F.least(F.lit(6), x["level"])).alias("level")))
+    def without_fence(raw: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(raw, r"^```[^\n]*\n", ""), "```\\z", "")
+        return F.when(raw.startswith("```"), inner).otherwise(raw)
+
+    kind = lambda x, f: F.coalesce(F.schema_of_variant(F.try_variant_get(x, f, "variant")), F.lit(""))
+
+    def item(x: Column) -> Column:
+        return F.struct(
+            tx.strip(F.try_variant_get(x, "$.heading", "string")).alias("heading"),
+            F.greatest(F.lit(1), F.least(F.lit(6), F.try_variant_get(x, "$.level", "int"))).alias("level"),
+            ((kind(x, "$.heading") == "STRING") & (kind(x, "$.level") == "BIGINT")).alias("typed"),
+        )
+
+    def read(json: Column) -> Column:
+        items = F.when(F.schema_of_variant(json).startswith("ARRAY"), json.try_cast("array<variant>"))
+        usable = F.filter(F.transform(items, item), lambda x: x["typed"] & (x["heading"] != "") & (F.length(x["heading"]) <= 300))
+        return F.transform(usable, lambda x: F.struct(x["heading"].alias("heading"), x["level"].alias("level")))
+
+    return tx.bind(tx.strict_json(tx.bind(tx.strip(response), without_fence)), read)
 
 
 def locate_headings(docs: DataFrame, responses: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_index", "search", "dense_eval", "ingestion"]
+MODULES = ["text_index", "search", "dense_eval", "ingestion", "citation"]
 
 
 def _load():

@@ -409,7 +409,7 @@ def enrichment_responses(spark, sf):
 ENRICHED = r"""en AS (SELECT section_id, doc_id, left(trim(heading || ' sum'), 2000) AS summary, path || '|' || repeat('t', 80) || '|c|d' AS topics FROM sections WHERE ordinal % 4 < 2)"""
 
 
-@query("in20_parse_enrichment", "WITH " + TREE + ", " + ENRICHED + " SELECT section_id, trim(summary) AS summary, topics FROM en")
+@query("in20_parse_enrichment", "WITH " + TREE + ", " + ENRICHED + " SELECT section_id, summary, topics FROM en")
 def in20(spark, sf):
     good, _ = ig.split_responses(enrichment_responses(spark, sf))
     return good.select("section_id", "summary", F.array_join("topics", "|").alias("topics"))
@@ -420,13 +420,13 @@ def in20_rejects(spark, sf):
     return ig.split_responses(enrichment_responses(spark, sf))[1].select("section_id", "reason")
 
 
-@query("in21_apply_enrichment", "WITH " + TREE + ", " + ENRICHED + " SELECT s.section_id, trim(e.summary) AS summary FROM sections s LEFT JOIN en e USING (section_id)")
+@query("in21_apply_enrichment", "WITH " + TREE + ", " + ENRICHED + " SELECT s.section_id, e.summary AS summary FROM sections s LEFT JOIN en e USING (section_id)")
 def in21(spark, sf):
     good, _ = ig.split_responses(enrichment_responses(spark, sf))
     return ig.apply_enrichment(full(spark, sf)[1], good).select("section_id", "summary")
 
 
-@query("in22_contextual_texts", "WITH " + CHUNKS + ", " + ENRICHED + " SELECT c.chunk_id AS owner_id, md5(trim(e.summary) || chr(10) || chr(10) || c.content) AS digest FROM ck c JOIN en e USING (section_id)")
+@query("in22_contextual_texts", "WITH " + CHUNKS + ", " + ENRICHED + " SELECT c.chunk_id AS owner_id, md5(e.summary || chr(10) || chr(10) || c.content) AS digest FROM ck c JOIN en e USING (section_id)")
 def in22(spark, sf):
     good, _ = ig.split_responses(enrichment_responses(spark, sf))
     return ig.contextual_texts(parts(spark, sf)[2], good).select("owner_id", F.md5("text").alias("digest"))
