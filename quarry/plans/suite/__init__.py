@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_index", "search", "dense_eval", "ingestion", "citation"]
+MODULES = ["text_index", "search", "dense_eval", "ingestion", "citation", "relational"]
 
 
 def _load():

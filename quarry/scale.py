@@ -128,7 +128,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     values: Sequence[str],
     descending: bool = False,
     blocks: int | None = None,
@@ -140,16 +140,17 @@ def running_totals(
     """
     spark = df.sparkSession
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = F.col(order).desc() if descending else F.col(order).asc()
+    names = [order] if isinstance(order, str) else list(order)
+    by = [F.col(o).desc() if descending else F.col(o).asc() for o in names]
     ranged = hold(
-        df.repartitionByRange(n, *[F.col(k) for k in keys], by).withColumn("_block", F.spark_partition_id())
+        df.repartitionByRange(n, *[F.col(k) for k in keys], *by).withColumn("_block", F.spark_partition_id())
     )
     totals = ranged.groupBy(*keys, "_block").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(
         *keys, "_block", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values]
     )
-    within = Window.partitionBy(*keys, "_block").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "_block").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.join(small(base), [*keys, "_block"])
     return out.select(
         *df.columns, *[(F.sum(v).over(within) + F.col(f"_b_{v}")).alias(f"run_{v}") for v in values]
