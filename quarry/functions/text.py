@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from quarry.functions.porter import stem
 
@@ -66,6 +67,58 @@ def _stem_lists_without_stop(tokens: pa.Array) -> pa.Array:
     return _map_words(tokens, lambda t: None if t in _STOP else stem(t))
 
 
+TERM_GROUPS = StructType([
+    StructField("size", IntegerType()),
+    StructField("norm", DoubleType()),
+    StructField("terms", ArrayType(StructType([
+        StructField("term", StringType()), StructField("positions", ArrayType(IntegerType())),
+    ]))),
+])
+
+
+def _group_terms(lists: pa.Array, fn) -> pa.Array:
+    """Per token list: term count, log-tf norm and every term with its positions.
+
+    Rows of a batch are grouped together with one stable sort on (row, term)."""
+    lists = lists.cast(pa.list_(pa.string()))
+    words = lists.flatten().dictionary_encode()
+    names: dict[str, int] = {}
+    term_of_word = np.array(
+        [-1 if t is None else names.setdefault(t, len(names)) for t in map(fn, words.dictionary.to_pylist())], np.int64
+    )
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    position = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    term = term_of_word[words.indices.to_numpy(zero_copy_only=False)] if len(row) else row
+    kept = term >= 0
+    key, position = row[kept] * max(len(names), 1) + term[kept], position[kept]
+    order = np.argsort(key, kind="stable")
+    key, position = key[order], position[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.array([], np.int64)
+    group_row, group_term = np.divmod(key[starts], max(len(names), 1))
+    tf = np.diff(np.r_[starts, len(key)])
+    squares = np.bincount(group_row, weights=(1.0 + np.log10(np.maximum(tf, 1))) ** 2, minlength=len(sizes))
+    offsets = lambda counts: pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
+    groups = pa.StructArray.from_arrays(
+        [pa.array(list(names), pa.string()).take(pa.array(group_term)),
+         pa.ListArray.from_arrays(offsets(tf), pa.array(position, pa.int32()))],
+        names=["term", "positions"],
+    )
+    per_row = pa.ListArray.from_arrays(offsets(np.bincount(group_row, minlength=len(sizes))), groups)
+    count = pa.array(np.bincount(row[kept], minlength=len(sizes)), pa.int32())
+    return pa.StructArray.from_arrays([count, pa.array(np.sqrt(squares)), per_row], names=["size", "norm", "terms"])
+
+
+@F.arrow_udf(TERM_GROUPS)
+def _stemmed_groups(tokens: pa.Array) -> pa.Array:
+    return _group_terms(tokens, lambda t: None if t in _STOP else stem(t))
+
+
+@F.arrow_udf(TERM_GROUPS)
+def _plain_groups(tokens: pa.Array) -> pa.Array:
+    return _group_terms(tokens, lambda t: None if t in _STOP else t)
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -132,6 +185,19 @@ def analyze(df: DataFrame, text: str = "text", stemmer: str = "porter") -> DataF
     return rows.filter(~is_stop("term"))
 
 
+def term_groups(text: str | Column, stemmer: str = "porter") -> Column:
+    """Analyzed text as ``(size, norm, terms array<(term, positions)>)``: a document's postings
+    come out of its own row, with no grouping shuffle."""
+    return (_stemmed_groups if _check(stemmer) else _plain_groups)(tokenize(text))
+
+
+def term_rows(df: DataFrame, text: str = "text", stemmer: str = "porter") -> DataFrame:
+    """One row per distinct term of each input row: ``..., size, norm, term, positions``."""
+    rest = [c for c in df.columns if c != text]
+    grouped = df.select(*rest, term_groups(text, stemmer).alias("g"))
+    return grouped.select(*rest, "g.size", "g.norm", F.inline("g.terms"))
+
+
 def terms_of(text: str | Column, stemmer: str = "porter") -> Column:
     """The analyzed term list of a text as one array (empty when nothing is left)."""
     return stems(F.filter(tokenize(text), lambda t: ~t.isin(STOP_WORDS)), stemmer)

@@ -13,7 +13,7 @@ from quarry.functions import text as tx
 from quarry.functions.vectors import cosine
 from quarry.operators.index import Index, log_tf
 from quarry.operators.ranked import text_weights
-from quarry.scale import row_count, salted_join
+from quarry.scale import hold, row_count, salted_join
 
 THRESHOLD = 0.33
 MARK = "\ufdd0"  # a Unicode noncharacter, reserved for process-internal use
@@ -144,10 +144,12 @@ def passage_windows(content: str | Column) -> Column:
 
 
 def _weighted(index: Index, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, term, w, norm`` of the log-tf idf vector of each text."""
-    terms = tx.analyze(texts, "text", index.stemmer).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    rows = salted_join(terms, text_weights(index, terms), ["term"], keys, salts=8)
-    return rows.select(*keys, "term", (log_tf("tf") * F.col("idf")).alias("w"))
+    """``keys, term, w``: the log-tf idf vector of each text, stored because dot products and
+    norms both read it."""
+    rows = tx.term_rows(texts.select(*keys, "text"), "text", index.stemmer)
+    terms = hold(rows.select(*keys, "term", F.size("positions").alias("tf")))
+    weighed = salted_join(terms, text_weights(index, terms), ["term"], keys, salts=8)
+    return hold(weighed.select(*keys, "term", (log_tf("tf") * F.col("idf")).alias("w")))
 
 
 def window_scores(index: Index, claims: DataFrame, blocks: DataFrame) -> DataFrame:

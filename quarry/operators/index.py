@@ -1,9 +1,9 @@
 """Positional, zoned inverted index as a set of tables.
 
-Rows are laid out by document: the text is shuffled once on ``doc_id`` and every later step up
-to scoring (term frequencies, lengths, norms, per-document sums) groups on keys that contain
-``doc_id``, so it reuses that layout without another exchange. Only document frequencies are
-shuffled by term, after map-side counting.
+Rows are laid out by document: the text is shuffled once on ``doc_id``; term frequencies,
+positions, lengths and norms come out of each document's own row, and per-document score sums
+group on keys that contain ``doc_id``, so they reuse that layout without another exchange. Only
+document frequencies are shuffled by term, after map-side counting.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
@@ -31,6 +31,7 @@ class Index:
     docs: DataFrame
     dictionary: DataFrame
     zone_stats: DataFrame
+    keys: DataFrame  # doc_id, zone of everything indexed, also of empty zones
     stemmer: str = "porter"
     champion_r: int = CHAMPION_R
 
@@ -48,15 +49,9 @@ def latest_documents(zones: DataFrame, order_by: str) -> DataFrame:
 
 def postings_table(zones: DataFrame, stemmer: str = "porter") -> DataFrame:
     """One row per (document, zone, term) with sorted positions, zone length and lnc norm."""
-    terms = tx.analyze(zones.repartition("doc_id").select("doc_id", "zone", "text"), "text", stemmer)
-    per_term = terms.groupBy("doc_id", "zone", "term").agg(
-        F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")
-    )
-    zone = Window.partitionBy("doc_id", "zone")
-    return per_term.select(
-        "doc_id", "zone", "term", "tf", "positions",
-        F.sum("tf").over(zone).cast("int").alias("zone_len"),
-        F.sqrt(F.sum(F.pow(log_tf("tf"), F.lit(2.0))).over(zone)).alias("norm"),
+    rows = tx.term_rows(zones.repartition("doc_id").select("doc_id", "zone", "text"), "text", stemmer)
+    return rows.select(
+        "doc_id", "zone", "term", F.size("positions").alias("tf"), "positions", F.col("size").alias("zone_len"), "norm"
     )
 
 
@@ -65,7 +60,15 @@ def log_tf(tf: str | Column) -> Column:
     return F.when(c > 0, 1.0 + F.log10(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def _derive(postings: DataFrame, doc_zone: DataFrame, stemmer: str, champion_r: int) -> Index:
+def _derive(postings: DataFrame, keys: DataFrame, stemmer: str, champion_r: int) -> Index:
+    present = postings.groupBy("doc_id", "zone").agg(F.first("zone_len").alias("len"), F.first("norm").alias("norm"))
+    doc_zone = keys.join(present, ["doc_id", "zone"], "left").select(
+        "doc_id", "zone", F.coalesce("len", F.lit(0)).alias("len"), F.coalesce("norm", F.lit(0.0)).alias("norm")
+    )
+    return _statistics(postings, doc_zone, keys, stemmer, champion_r)
+
+
+def _statistics(postings: DataFrame, doc_zone: DataFrame, keys: DataFrame, stemmer: str, champion_r: int) -> Index:
     docs = doc_zone.select("doc_id").distinct()
     n = row_count(docs)
     zone_stats = doc_zone.groupBy("zone").agg(F.sum("len").alias("total")).select(
@@ -73,7 +76,7 @@ def _derive(postings: DataFrame, doc_zone: DataFrame, stemmer: str, champion_r:
     )
     df = doc_postings(postings).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     dictionary = df.select("term", "df", F.log10(n / F.col("df")).alias("idf"))
-    return Index(postings, doc_zone, docs, dictionary, zone_stats, stemmer, champion_r)
+    return Index(postings, doc_zone, docs, dictionary, zone_stats, keys, stemmer, champion_r)
 
 
 def build(zones: DataFrame, stemmer: str = "porter", champion_r: int = CHAMPION_R,
@@ -82,32 +85,27 @@ def build(zones: DataFrame, stemmer: str = "porter", champion_r: int = CHAMPION_
     their last version; otherwise ``(doc_id, zone)`` must be unique."""
     if order_by:
         zones = latest_documents(zones, order_by)
-    postings = postings_table(zones, stemmer)
-    present = postings.select("doc_id", "zone", "zone_len", "norm").distinct()
-    doc_zone = zones.select("doc_id", "zone").join(present, ["doc_id", "zone"], "left").select(
-        "doc_id", "zone", F.coalesce("zone_len", F.lit(0)).alias("len"), F.coalesce("norm", F.lit(0.0)).alias("norm")
-    )
-    return _derive(postings, doc_zone, stemmer, champion_r)
+    return _derive(postings_table(zones, stemmer), zones.select("doc_id", "zone"), stemmer, champion_r)
 
 
 def held(index: Index) -> Index:
     """Write the index once into bucketed tables of the shared folder; later queries read the
     stored postings and keep the document layout. The dictionary is derived from the stored
     postings, so the text is analyzed a single time."""
-    postings = hold(index.postings, "doc_id", ["term", "zone"])
-    doc_zone = hold(index.doc_zone, "doc_id")
-    fresh = _derive(postings, doc_zone, index.stemmer, index.champion_r)
+    postings = hold(index.postings, "doc_id", laid_out=True)
+    doc_zone = hold(_derive(postings, index.keys, index.stemmer, index.champion_r).doc_zone, "doc_id")
+    fresh = _statistics(postings, doc_zone, doc_zone.select("doc_id", "zone"), index.stemmer, index.champion_r)
     return replace(fresh, dictionary=hold(fresh.dictionary), zone_stats=hold(fresh.zone_stats))
 
 
 def save(index: Index, path: str) -> None:
     """Persist the tables; postings are sorted by term so term filters skip row groups."""
+    read = index.postings.sparkSession.read.parquet
     index.postings.sortWithinPartitions("term", "zone", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.doc_zone.write.mode("overwrite").parquet(f"{path}/doc_zone")
-    stored = _derive(
-        index.postings.sparkSession.read.parquet(f"{path}/postings"),
-        index.postings.sparkSession.read.parquet(f"{path}/doc_zone"), index.stemmer, index.champion_r,
-    )
+    stored = _derive(read(f"{path}/postings"), index.keys, index.stemmer, index.champion_r)
+    stored.doc_zone.write.mode("overwrite").parquet(f"{path}/doc_zone")
+    doc_zone = read(f"{path}/doc_zone")
+    stored = _statistics(stored.postings, doc_zone, doc_zone.select("doc_id", "zone"), index.stemmer, index.champion_r)
     stored.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
     stored.zone_stats.write.mode("overwrite").parquet(f"{path}/zone_stats")
 
@@ -116,7 +114,7 @@ def load(spark: SparkSession, path: str, stemmer: str = "porter", champion_r: in
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     doc_zone = read("doc_zone")
     return Index(read("postings"), doc_zone, doc_zone.select("doc_id").distinct(), read("dictionary"),
-                 read("zone_stats"), stemmer, champion_r)
+                 read("zone_stats"), doc_zone.select("doc_id", "zone"), stemmer, champion_r)
 
 
 def refresh(index: Index, changed_zones: DataFrame, removed: DataFrame | None = None) -> Index:
@@ -127,7 +125,7 @@ def refresh(index: Index, changed_zones: DataFrame, removed: DataFrame | None =
     part = build(changed_zones, index.stemmer, index.champion_r)
     postings = index.postings.join(gone, "doc_id", "left_anti").unionByName(part.postings)
     doc_zone = index.doc_zone.join(gone, "doc_id", "left_anti").unionByName(part.doc_zone)
-    return _derive(postings, doc_zone, index.stemmer, index.champion_r)
+    return _statistics(postings, doc_zone, doc_zone.select("doc_id", "zone"), index.stemmer, index.champion_r)
 
 
 # ---- lookups ---------------------------------------------------------------------------

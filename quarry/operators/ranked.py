@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators.index import Index, champions, log_tf
-from quarry.scale import exact_sum, is_small, lookup_join, salted_join, small, top_k
+from quarry.scale import exact_sum, hold, is_small, lookup_join, salted_join, small, top_k
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -18,18 +18,16 @@ HEADING_WEIGHTS = {"heading": 2.0, "body": 1.0}  # lexical channel default
 
 def query_term_counts(queries: DataFrame, stemmer: str = "porter", text: str = "query") -> DataFrame:
     """``query_id, term, qtf, first_pos`` of every analyzed query term."""
-    rows = tx.analyze(queries.select("query_id", text), text, stemmer)
-    return rows.groupBy("query_id", "term").agg(
-        F.count(F.lit(1)).cast("int").alias("qtf"), F.min("pos").alias("first_pos")
-    )
+    rows = tx.term_rows(queries.select("query_id", text), text, stemmer)
+    return rows.select("query_id", "term", F.size("positions").alias("qtf"), F.get("positions", F.lit(0)).alias("first_pos"))
 
 
 def resolve_terms(index: Index, wanted: DataFrame, checked: bool | None = None) -> DataFrame:
     """Add ``lookup, df, idf``. A term missing from the dictionary is analyzed once more and
     used under its new form when that form exists (stemming twice can reach a known stem)."""
     forms = wanted.withColumn("_again", F.element_at(tx.stems(F.array("term"), index.stemmer), 1))
-    forms = forms.withColumn("_again", F.when(~tx.is_stop("term"), F.col("_again")))
-    ok = is_small(wanted) if checked is None else checked
+    forms = hold(forms.withColumn("_again", F.when(~tx.is_stop("term"), F.col("_again"))))
+    ok = is_small(forms) if checked is None else checked
     keys = forms.select(F.explode(F.array("term", "_again")).alias("term")).distinct().dropna()
     known = index.dictionary.join(F.broadcast(keys) if ok else keys, "term", "left_semi")
     hint = F.broadcast if ok else (lambda d: d)
@@ -228,9 +226,11 @@ def pair_cosine(index: Index, pairs: DataFrame) -> DataFrame:
         "pair_id",
         F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"text_{s}").alias("text")) for s in "ab"])),
     )
-    terms = tx.analyze(sides, "text", index.stemmer).groupBy("pair_id", "term").agg(
-        F.count(F.when(F.col("side") == "a", 1)).alias("tf_a"), F.count(F.when(F.col("side") == "b", 1)).alias("tf_b")
-    )
+    n = F.size("positions")
+    terms = hold(tx.term_rows(sides, "text", index.stemmer).groupBy("pair_id", "term").agg(
+        F.sum(F.when(F.col("side") == "a", n).otherwise(0)).alias("tf_a"),
+        F.sum(F.when(F.col("side") == "b", n).otherwise(0)).alias("tf_b"),
+    ))
     weighed = salted_join(terms, text_weights(index, terms), ["term"], ["pair_id"], salts=8)
     a, b = log_tf("tf_a") * F.col("idf"), log_tf("tf_b") * F.col("idf")
     sums = weighed.groupBy("pair_id").agg(

@@ -90,11 +90,13 @@ def hold(
     bucket_by: str | None = None,
     sort_by: Sequence[str] = (),
     buckets: int | None = None,
+    laid_out: bool = False,
 ) -> DataFrame:
     """Compute ``df`` once into a Parquet table in the shared folder and read it back.
 
     Lost executors re-read the files instead of recomputing the lineage. With ``bucket_by``
-    the table keeps its hash layout, so later grouping on that key needs no exchange.
+    the table keeps its hash layout, so later grouping on that key needs no exchange;
+    ``laid_out`` says the plan already ends in that layout and needs no further shuffle.
     """
     spark = df.sparkSession
     name = f"quarry_{uuid.uuid4().hex}"
@@ -103,7 +105,7 @@ def hold(
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.repartition(n, bucket_by).write.bucketBy(n, bucket_by)
+    writer = (df if laid_out else df.repartition(n, bucket_by)).write.bucketBy(n, bucket_by)
     if sort_by:
         writer = writer.sortBy(*sort_by)
     writer.option("path", path).saveAsTable(name)
