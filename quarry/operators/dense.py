@@ -94,15 +94,19 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, max_query_rows: int = QU
     else:
         n_v, n_q = v.count(), q.count()
         vb, qb = blocks_for(n_v, VECTORS_PER_CELL), blocks_for(n_q, QUERIES_PER_CELL)
-        left = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(qb))).withColumn("_v", F.explode(_cells(vb)))
-        right = v.withColumn("_v", F.pmod(F.xxhash64("owner_id"), F.lit(vb))).withColumn("_q", F.explode(_cells(qb)))
+        left = q.select(
+            F.pmod(F.xxhash64("query_id"), F.lit(qb)).alias("qb"), F.explode(_cells(vb)).alias("vb"),
+            F.col("query_id").alias("q_id"), F.col("embedding").alias("q_vector"))
+        right = v.select(
+            F.explode(_cells(qb)).alias("qb"), F.pmod(F.xxhash64("owner_id"), F.lit(vb)).alias("vb"),
+            F.col("owner_id").alias("v_id"), F.col("embedding").alias("v_vector"))
 
         def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
                 return pd.DataFrame(columns=["query_id", "owner_id", "distance"])
-            return _nearest(a["query_id"].to_numpy(), _unit(a["embedding"]), b["owner_id"].to_numpy(), _unit(b["embedding"]), k)
+            return _nearest(a["q_id"].to_numpy(), _unit(a["q_vector"]), b["v_id"].to_numpy(), _unit(b["v_vector"]), k)
 
-        rows = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(cell, schema)
+        rows = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(cell, schema)
     return top_k(rows, ["query_id"], [F.round("distance", SCORE_DIGITS), F.col("owner_id")], k)
 
 

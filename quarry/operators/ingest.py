@@ -106,7 +106,7 @@ def page_range(content: Column, preceding: Column, page_start: Column, page_end:
     inside = F.regexp_extract_all(content, F.lit(PAGE_MARKER), F.lit(1))
     first, last = F.try_element_at(inside, F.lit(1)).cast("int"), F.try_element_at(inside, F.lit(-1)).cast("int")
     at_start = content.rlike(f"(?mdU)\\A{tx.BLANK}*^#{{1,6}}[ \\t]*Page[ \\t]+\\d+[ \\t]*$")
-    start = F.coalesce(F.when(at_start, first), preceding, F.greatest(first - 1, F.lit(1)))
+    start = F.coalesce(F.when(at_start, first), preceding, F.when(first.isNotNull(), F.greatest(first - 1, F.lit(1))))
     whole = (page_start == 1) & (page_end > 1) & (page_end >= max_page)
     derived = start.isNotNull()
     hidden = F.coalesce(whole, F.lit(False))

@@ -157,15 +157,15 @@ zone_stats AS (SELECT zone, sum(len) / (SELECT n FROM n) AS avg_len FROM doc_zon
 dictionary AS (SELECT term, count(DISTINCT doc_id) AS df, log10((SELECT n FROM n) / count(DISTINCT doc_id)) AS idf
   FROM postings GROUP BY term),
 qkept AS (SELECT query_id, pos, token, term FROM qtok JOIN stems USING (token) WHERE token NOT IN {STOP_SQL}),
-qterms AS (SELECT q.*, coalesce(d.df, 0) AS df, coalesce(d.idf, 0) AS idf FROM
-  (SELECT query_id, term, count(*) AS qtf, min(pos) AS first_pos FROM qkept GROUP BY ALL) q LEFT JOIN dictionary d USING (term))"""
+qmiss AS (SELECT DISTINCT term AS token FROM qkept WHERE term NOT IN {STOP_SQL} AND term NOT IN (SELECT term FROM dictionary)),
+{stems_sql('qmiss', 'stemsq', 'sq_')},
+qterms AS (SELECT q.*, CASE WHEN d.df IS NULL AND d2.df IS NOT NULL THEN d2.term ELSE q.term END AS lookup,
+  coalesce(d.df, d2.df, 0) AS df, coalesce(d.idf, d2.idf, 0) AS idf FROM
+  (SELECT query_id, term, count(*) AS qtf, min(pos) AS first_pos FROM qkept GROUP BY ALL) q LEFT JOIN dictionary d USING (term)
+  LEFT JOIN stemsq s2 ON s2.token = q.term LEFT JOIN dictionary d2 ON d2.term = s2.term)"""
     )
 
 
-def weights_sql(weights: str = "(VALUES ('heading', 1.0), ('body', 1.0)) w(zone, zw)") -> str:
-    return weights
-
-
 def scores_sql(scheme: str = "bm25", zones: str = "(VALUES ('heading', 1.0), ('body', 1.0))", threshold: float = 0.0,
                champions: bool = False, champion_r: int = 50) -> str:
     """CTEs after ``index_sql``: active, contrib (one row per query, doc, zone, term), scores."""
@@ -173,7 +173,7 @@ def scores_sql(scheme: str = "bm25", zones: str = "(VALUES ('heading', 1.0), ('b
     if champions:
         champ = f""", champs AS (SELECT zone, term, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY zone, term
   ORDER BY tf DESC, doc_id) AS r FROM postings) WHERE r <= {champion_r}),
-cand AS (SELECT DISTINCT a.query_id, c.doc_id FROM champs c JOIN active a USING (term) JOIN zw USING (zone))"""
+cand AS (SELECT DISTINCT a.query_id, c.doc_id FROM champs c JOIN active a ON a.lookup = c.term JOIN zw USING (zone))"""
         pool = "JOIN cand USING (query_id, doc_id)"
     if scheme == "bm25":
         value = "a.idf * (2.2 * p.tf) / (1.2 * (0.25 + 0.75 * p.zone_len / s.avg_len) + p.tf)"
@@ -182,8 +182,8 @@ cand AS (SELECT DISTINCT a.query_id, c.doc_id FROM champs c JOIN active a USING
     return f""", zw AS (SELECT * FROM {zones} w(zone, zw)),
 kept AS (SELECT * FROM qterms WHERE idf > {threshold}),
 active AS (SELECT *, sqrt(sum(((1 + log10(qtf)) * idf) ** 2) OVER (PARTITION BY query_id)) AS qnorm FROM kept){champ},
-contrib AS (SELECT a.query_id, p.doc_id, p.zone, p.term, p.tf, a.idf, zw.zw * {value} AS weight
-  FROM active a JOIN postings p USING (term) JOIN zw USING (zone) JOIN zone_stats s USING (zone) {pool}),
+contrib AS (SELECT a.query_id, p.doc_id, p.zone, a.term, p.tf, a.idf, zw.zw * {value} AS weight
+  FROM active a JOIN postings p ON p.term = a.lookup JOIN zw USING (zone) JOIN zone_stats s USING (zone) {pool}),
 scores AS (SELECT query_id, doc_id, sum(CAST(round(weight * 1e12) AS BIGINT)) / 1e12 AS score FROM contrib GROUP BY ALL HAVING sum(weight) > 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)
 """

@@ -323,7 +323,7 @@ PAGES = CHUNKS + r""", mk AS (SELECT *, regexp_extract_all(content, '(?m)^#{1,6}
   regexp_matches(content, '(^|\n)#{1,6} *Page +[0-9]+ *(\n|$)') AS has, regexp_matches(ltrim(content, chr(10) || ' '), '^#{1,6}[ \t]*Page[ \t]+\d+[ \t]*(\n|$)') AS at_start FROM ck),
 pr AS (SELECT *, CAST(m[1] AS INTEGER) AS first, CAST(m[-1] AS INTEGER) AS last, last_value(CASE WHEN has THEN CAST(m[-1] AS INTEGER) END IGNORE NULLS)
   OVER (PARTITION BY doc_id ORDER BY char_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS preceding FROM mk),
-stt AS (SELECT p.*, d.page_count, CASE WHEN at_start THEN first ELSE coalesce(preceding, greatest(first - 1, 1)) END AS st FROM pr p JOIN doc d USING (doc_id)),
+stt AS (SELECT p.*, d.page_count, CASE WHEN at_start THEN first ELSE coalesce(preceding, CASE WHEN first IS NOT NULL THEN greatest(first - 1, 1) END) END AS st FROM pr p JOIN doc d USING (doc_id)),
 chunk_pages AS (SELECT chunk_id, doc_id, CASE WHEN st IS NOT NULL THEN st WHEN page_count > 1 THEN NULL ELSE 1 END AS page_start,
   CASE WHEN st IS NOT NULL THEN greatest(coalesce(last, st), st) WHEN page_count > 1 THEN NULL ELSE page_count END AS page_end FROM stt)"""
 

@@ -74,7 +74,7 @@ def rk8(spark, sf):
 forms AS (SELECT query_id, term, string_agg(token, ' ' ORDER BY p) AS surface FROM (SELECT query_id, term, token, min(pos) AS p FROM qkept GROUP BY ALL) GROUP BY ALL)
 SELECT q.query_id, q.term, f.surface, CAST(q.qtf AS INTEGER) AS query_tf, q.df, round(q.idf, 6) AS idf,
 coalesce(h.n, 0) AS heading_postings, coalesce(b.n, 0) AS body_postings, least(coalesce(b.n, 0), 50) AS body_champions, q.idf <= 0.5 AS eliminated
-FROM qterms q JOIN forms f USING (query_id, term) LEFT JOIN z h ON h.term = q.term AND h.zone = 'heading' LEFT JOIN z b ON b.term = q.term AND b.zone = 'body'""")
+FROM qterms q JOIN forms f USING (query_id, term) LEFT JOIN z h ON h.term = q.lookup AND h.zone = 'heading' LEFT JOIN z b ON b.term = q.lookup AND b.zone = 'body'""")
 def rk9(spark, sf):
     stats = rk.term_stats(doc_index(spark, sf), bench_queries(spark, sf), 0.5)
     n = lambda m, z: F.coalesce(F.try_element_at(m, F.lit(z)), F.lit(0))
@@ -85,7 +85,7 @@ def rk9(spark, sf):
     )
 
 
-@query("rk10_ranked_trace", BASE + scores_sql(threshold=0.5, champions=True) + """, pool AS (SELECT DISTINCT query_id, doc_id FROM active JOIN postings USING (term))
+@query("rk10_ranked_trace", BASE + scores_sql(threshold=0.5, champions=True) + """, pool AS (SELECT DISTINCT query_id, doc_id FROM active a JOIN postings p ON p.term = a.lookup)
 SELECT q.query_id, coalesce(a.t, '') AS active_terms, coalesce(e.t, '') AS eliminated_terms,
 (SELECT count(*) FROM pool p WHERE p.query_id = q.query_id) AS docs_with_postings,
 (SELECT count(*) FROM cand c WHERE c.query_id = q.query_id) AS champion_candidates,
