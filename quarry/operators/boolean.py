@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators.index import Index, doc_postings
-from quarry.operators.ranked import resolve_terms
-from quarry.scale import hold, is_small, lookup_join, row_count, top_k
+from quarry.operators.ranked import resolve_terms, small_queries
+from quarry.scale import SALTS, hold, is_small, lookup_join, row_count, top_k
 
 OPERATORS = ("AND", "OR", "NOT")
 
@@ -75,7 +75,7 @@ def _operand_docs(index: Index, wanted: DataFrame, keys: list[str], checked: boo
 
 
 def _resolved(index: Index, queries: DataFrame) -> tuple[DataFrame, bool]:
-    ok = is_small(queries.select("query_id", "query"))
+    ok = small_queries(queries)
     parsed = parse(queries, index.stemmer)
     forms = resolve_terms(index, parsed.select("term").distinct(), ok).select("term", "lookup", "df")
     return parsed.join(forms, "term"), ok
@@ -85,8 +85,11 @@ def _clause_docs(index: Index, terms: DataFrame, checked: bool) -> DataFrame:
     """Documents of each clause's positive part; all documents when it has none."""
     positives = _operand_docs(index, terms.filter("not negated"), ["query_id", "clause"], checked)
     open_clauses = terms.groupBy("query_id", "clause").agg(F.bool_and("negated").alias("only_not")).filter("only_not")
-    listed = open_clauses.agg(F.collect_list(F.struct("query_id", "clause")).alias("c")).scalar()
-    everything = index.docs.select("doc_id", F.inline(listed)).select("query_id", "clause", "doc_id")
+    # Such a clause starts from every document, so the rows below are its answer; documents are
+    # dealt to buckets and each bucket meets the few open clauses.
+    dealt = index.docs.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    spread = open_clauses.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    everything = dealt.join(spread, "_b").select("query_id", "clause", "doc_id")
     return positives.unionByName(everything)
 
 

@@ -27,7 +27,7 @@ def feedback(stored: DataFrame | None, arriving: DataFrame, messages: DataFrame)
     ``arriving``: message_id, user_id, rating, ts, feedback_id.
     """
     roles = messages.select("message_id", "role")
-    joined = arriving.join(roles, "message_id", "left")
+    joined = salted_join(arriving, roles, ["message_id"], ["feedback_id"], "left", salts=8)
     reason = F.when(F.col("role").isNull(), "message not found").when(F.col("role") != "assistant", "only answers can be rated")
     checked = joined.withColumn("reason", reason)
     good = checked.filter("reason is null").select(arriving.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.scale import running_totals, small, top_k
+from quarry.scale import lookup_join, running_totals, small, top_k
 
 METRICS = ["P@1", "P@5", "P@10", "R@10", "R@100", "MRR@10", "nDCG@10"]
 
@@ -155,7 +155,7 @@ def best_f1(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     ranked = running_totals(_by_score(rows, keys), keys, "score", ["pos", "neg"], descending=True)
     total = ranked.groupBy(*keys).agg(F.sum("pos").alias("all_pos"))
-    joined = ranked.join(F.broadcast(total), keys) if keys else ranked.withColumn("all_pos", total.select("all_pos").scalar())
+    joined = lookup_join(ranked, total, keys, ["score"]) if keys else ranked.withColumn("all_pos", total.select("all_pos").scalar())
     tp, fp = F.col("run_pos"), F.col("run_neg")
     f1 = rates(tp, fp, F.lit(0), F.col("all_pos") - tp)[2]
     scored = joined.select(*keys, "score", f1.alias("f1"))

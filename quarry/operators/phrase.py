@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators.index import Index
-from quarry.operators.ranked import resolve_terms
-from quarry.scale import is_small, lookup_join
+from quarry.operators.ranked import resolve_terms, small_queries
+from quarry.scale import lookup_join
 
 
 def slots(index: Index, queries: DataFrame, checked: bool) -> DataFrame:
@@ -27,7 +27,7 @@ def slots(index: Index, queries: DataFrame, checked: bool) -> DataFrame:
 def zone_matches(index: Index, queries: DataFrame, zone: str | None = None) -> DataFrame:
     """One row per (query, zone, document) that holds every phrase term in that zone, with the
     sorted start positions (empty when the words never line up)."""
-    ok = is_small(queries.select("query_id", "query"))
+    ok = small_queries(queries)
     wanted = slots(index, queries, ok)
     postings = index.postings.select("doc_id", "zone", F.col("term").alias("lookup"), "positions")
     if zone is not None:
@@ -57,7 +57,7 @@ def trace(index: Index, queries: DataFrame) -> DataFrame:
     counts = per_doc.groupBy("query_id", "zone").agg(
         F.count(F.lit(1)).alias("candidates"), F.count(F.when(F.size("starts") > 0, 1)).alias("matched")
     )
-    ok = is_small(queries.select("query_id", "query"))
+    ok = small_queries(queries)
     wanted = slots(index, queries, ok).select("query_id", "term", "lookup").distinct()
     sizes = lookup_join(
         index.postings.select("doc_id", "zone", F.col("term").alias("lookup")), wanted, ["lookup"], ["doc_id"], checked=ok
@@ -75,5 +75,5 @@ def trace(index: Index, queries: DataFrame) -> DataFrame:
 
 def lengths(index: Index, queries: DataFrame) -> DataFrame:
     """Raw-token length of each phrase (last offset plus one)."""
-    ok = is_small(queries.select("query_id", "query"))
+    ok = small_queries(queries)
     return slots(index, queries, ok).groupBy("query_id").agg((F.max("offset") + 1).alias("phrase_len"))

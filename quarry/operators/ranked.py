@@ -13,6 +13,7 @@ from quarry.scale import exact_sum, hold, is_small, lookup_join, salted_join, sm
 
 BM25_K1 = 1.2
 BM25_B = 0.75
+QUERY_TEXT_BYTES = 8 << 20
 HEADING_WEIGHTS = {"heading": 2.0, "body": 1.0}  # lexical channel default
 
 
@@ -22,6 +23,11 @@ def query_term_counts(queries: DataFrame, stemmer: str = "porter", text: str = "
     return rows.select("query_id", "term", F.size("positions").alias("qtf"), F.get("positions", F.lit(0)).alias("first_pos"))
 
 
+def small_queries(queries: DataFrame) -> bool:
+    """Bound on the raw query text that also bounds every term table derived from it."""
+    return is_small(queries.select("query_id", "query"), size=QUERY_TEXT_BYTES)
+
+
 def resolve_terms(index: Index, wanted: DataFrame, checked: bool | None = None) -> DataFrame:
     """Add ``lookup, df, idf``. A term missing from the dictionary is analyzed once more and
     used under its new form when that form exists (stemming twice can reach a known stem)."""
@@ -79,7 +85,7 @@ def contributions(
     if scheme not in ("bm25", "tfidf"):
         raise ValueError(f"unknown scheme {scheme!r}")
     counts = query_term_counts(queries, index.stemmer)
-    ok = is_small(queries.select("query_id", "query"))
+    ok = small_queries(queries)
     wanted = query_terms(index, counts, idf_threshold, ok).select(
         "query_id", "term", F.col("lookup"), "qtf", "idf", "qweight", "first_pos"
     )
@@ -94,7 +100,7 @@ def contributions(
     if scheme == "tfidf":
         score = F.when(F.col("norm") > 0, F.col("qweight") * (log_tf("tf") / F.col("norm")))
     else:
-        rows = rows.join(F.broadcast(index.zone_stats.select("zone", "avg_len")), "zone")  # one row per zone
+        rows = rows.join(F.broadcast(index.zone_stats.select("zone", "avg_len")), "zone")  # one row per zone name given to the index
         ratio = F.col("zone_len") / F.col("avg_len")
         tf = F.col("tf").cast("double")
         score = F.when(
@@ -158,7 +164,7 @@ def term_stats(index: Index, queries: DataFrame, idf_threshold: float | None = N
         F.sum("n").cast("int").alias("query_tf"),
         F.min("pos").alias("first_pos"),
     )
-    ok = is_small(queries.select("query_id", "query"))
+    ok = small_queries(queries)
     resolved = resolve_terms(index, counts, ok)
     keys = resolved.select("lookup").distinct()
     matched = lookup_join(
@@ -186,7 +192,7 @@ def ranked_trace(
     use_champions: bool = False, idf_threshold: float = 0.0,
 ) -> DataFrame:
     """Candidate pool sizes per query: documents with postings, champions, documents scored."""
-    ok = is_small(queries.select("query_id", "query"))
+    ok = small_queries(queries)
     resolved = resolve_terms(index, query_term_counts(queries, index.stemmer), ok)
     active = F.col("idf") > idf_threshold
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("first_pos", "term")))), lambda s: s["term"])

@@ -56,12 +56,12 @@ def bench_queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_INDEXES: dict[tuple[str, str, str], ix.Index] = {}
+_INDEXES: dict[tuple, ix.Index] = {}
 
 
 def doc_index(spark: SparkSession, sf: str) -> ix.Index:
     """The document index, built and stored once per application and data folder."""
-    key = (spark.sparkContext.applicationId, sf, "docs")
+    key = (spark.sparkContext.applicationId, id(spark), sf, "docs")
     if key not in _INDEXES:
         _INDEXES[key] = ix.held(ix.build(doc_zones(spark, sf)))
     return _INDEXES[key]

@@ -61,7 +61,7 @@ _HELD: dict = {}
 
 def parts(spark, sf):
     """Marked text, sections and chunks of every document, stored once per application."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, id(spark), sf)
     if key not in _HELD:
         docs = hold(ol.assemble_pages(pages(spark, sf))[0], "doc_id")
         sections, chunks = ol.structure(docs)
