@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators.index import Index, champions, log_tf
-from quarry.scale import exact_sum, hold, is_small, lookup_join, salted_join, small, top_k
+from quarry.scale import exact_sum, hold, is_small, lookup_join, small, top_k
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -237,7 +237,7 @@ def pair_cosine(index: Index, pairs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("side") == "a", n).otherwise(0)).alias("tf_a"),
         F.sum(F.when(F.col("side") == "b", n).otherwise(0)).alias("tf_b"),
     ))
-    weighed = salted_join(terms, text_weights(index, terms), ["term"], ["pair_id"], salts=8)
+    weighed = lookup_join(terms, text_weights(index, terms), ["term"], ["pair_id"])
     a, b = log_tf("tf_a") * F.col("idf"), log_tf("tf_b") * F.col("idf")
     sums = weighed.groupBy("pair_id").agg(
         F.sum(a * b).alias("dot"), F.sqrt(F.sum(a * a)).alias("na"), F.sqrt(F.sum(b * b)).alias("nb")
@@ -249,8 +249,9 @@ def pair_cosine(index: Index, pairs: DataFrame) -> DataFrame:
 
 
 def text_weights(index: Index, terms: DataFrame) -> DataFrame:
-    """``term, idf`` (positive) for the distinct terms of a token table."""
-    return resolve_terms(index, terms.select("term").distinct(), checked=False).filter("idf > 0").select("term", "idf")
+    """``term, idf`` (positive) for the distinct terms of a token table, stored so that its
+    size can be checked before it is joined."""
+    return hold(resolve_terms(index, terms.select("term").distinct()).filter("idf > 0").select("term", "idf"))
 
 
 def hits_total(index: Index, queries: DataFrame, **options) -> DataFrame:
