@@ -185,6 +185,7 @@ def score_claims(index: Index | None, claims: DataFrame, blocks: DataFrame, vect
     or one with fewer than two documents, makes the lexical score unavailable. The status uses
     the unrounded score; markers without a block leave a claim weak.
     """
+    claims = hold(claims)  # read by every score below; the sentence rules run once
     cited = claims.select("answer_id", "claim_no", F.explode(F.array_distinct("citations")).alias("index"))
     valid = cited.join(blocks.select("answer_id", "index"), ["answer_id", "index"]).select("answer_id", "claim_no").distinct()
     out = claims.join(valid.withColumn("cited", F.lit(True)), ["answer_id", "claim_no"], "left")
