@@ -6,12 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, secret_scan, toxicity
+from quarry.llm import bpe, mixing, secret_scan, simhash, toxicity
 from quarry.llm.common import table
+from quarry.scale import hold
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = hold(docs.select("doc_id", F.array("source").alias("members"), mixing.words("text").alias("size")))
+    return mixing.mix(sized, "members", "size").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -27,5 +39,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(held, model, ["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_bpe, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_secret_scan, op6_bpe, op9_toxicity)}
 ORACLE: dict[str, str] = {}
