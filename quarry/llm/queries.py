@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, mixing, secret_scan, simhash, toxicity
+from quarry.llm import bpe, fingerprints, mixing, secret_scan, simhash, toxicity
 from quarry.llm.common import table
 from quarry.scale import hold
 
@@ -39,5 +39,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(held, model, ["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_secret_scan, op6_bpe, op9_toxicity)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_secret_scan, op6_bpe, op9_toxicity, op10_fingerprints)}
 ORACLE: dict[str, str] = {}
