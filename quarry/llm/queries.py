@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprints, mixing, secret_scan, sharding, simhash, toxicity
+from quarry.llm import bpe, fingerprints, licenses, mixing, secret_scan, sharding, simhash, toxicity
 from quarry.llm.common import table
 from quarry.scale import hold
 
@@ -28,6 +28,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.sha2("text", 256).alias("digest"))
@@ -50,5 +54,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_secret_scan, op5_sharding, op6_bpe, op9_toxicity, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_secret_scan, op4_licenses, op5_sharding, op6_bpe, op9_toxicity, op10_fingerprints)}
 ORACLE: dict[str, str] = {}
