@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprints, licenses, mixing, neighbours, secret_scan, sharding, simhash, toxicity
+from quarry.llm import bpe, fingerprints, licenses, mixing, neighbours, repeats, secret_scan, sharding, simhash, toxicity
 from quarry.llm.common import table
 from quarry.scale import hold
 
@@ -43,6 +43,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -58,5 +62,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_secret_scan, op4_licenses, op5_sharding, op6_bpe, op8_neighbours, op9_toxicity, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_secret_scan, op4_licenses, op5_sharding, op6_bpe, op7_repeats, op8_neighbours, op9_toxicity, op10_fingerprints)}
 ORACLE: dict[str, str] = {}
