@@ -239,6 +239,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     return map_texts(docs, keep, make, [("score", "double"), ("predicted", "int")], text)
 
 
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` below the threshold, with all their columns."""
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    return score(whole, model, ["_row"], "_text").filter("predicted = 0").select("_row.*")
+
+
 def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col`` and, for each significant passage, ``first_token``, ``end_token``, ``evalue``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
