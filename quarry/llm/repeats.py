@@ -93,6 +93,9 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """whole, h, c, id, ps of each anchor. Pieces that an earlier piece of the same task equals
+    are already known to be repeated; they are dealt by id, so that a frequent anchor leaves a task
+    once."""
     for batch in batches:
         ids, sigs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
@@ -101,11 +104,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, h, c = anchors(text.as_py() or b"")
             out.append((h.view(np.int64), c.view(np.int64), np.full(len(at), ids[i]), (at << 24) | sigs[i]))
             held += len(at)
-            if held > 200_000:
-                yield _batch(out, ("h", "c", "id", "ps"))
+            if held > 500_000:
+                yield _combined(out)
                 out, held = [], 0
         if held:
-            yield _batch(out, ("h", "c", "id", "ps"))
+            yield _combined(out)
+
+
+def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    h, c, ids, ps = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((ps, ids, c, h))
+    h, c, ids, ps = h[order], c[order], ids[order], ps[order]
+    whole = np.zeros(len(h), bool)
+    whole[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    h[whole] = mixed(ids[whole].view(np.uint64) ^ ps[whole].view(np.uint64), 3).view(np.int64)
+    return _batch([(whole, h, c, ids, ps)], ("whole", "h", "c", "id", "ps"))
 
 
 def _batch(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> pa.RecordBatch:
@@ -114,10 +127,15 @@ def _batch(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> pa.Re
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, piece and place: pieces equal to an earlier one (whole), and
-    the first of each kind if its anchor has several kinds. One row waits for its successor."""
+    the first of each kind if its anchor has several kinds. One row waits for its successor.
+    Rows known to be whole pass."""
     wait: tuple[int, int, int, int, bool] | None = None  # h, c, id, ps, other kinds before
     for batch in batches:
-        h, c, ids, ps = [batch.column(k).to_numpy() for k in range(4)]
+        known = batch.column(0).to_numpy(zero_copy_only=False)
+        h, c, ids, ps = [batch.column(k).to_numpy() for k in range(1, 5)]
+        if known.any():
+            yield _batch([(ids[known], ps[known], h[known], known[known])], ("id", "ps", "h", "whole"))
+            h, c, ids, ps = h[~known], c[~known], ids[~known], ps[~known]
         if not len(h):
             continue
         ph, pc = (wait[0], wait[1]) if wait else (None, None)
@@ -241,8 +259,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(texts: DataFrame, packed: DataFrame) -> DataFrame:
     """Repeated spans (id, sig, a, b) of texts (id, sig, t)."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(_anchor_rows, "h bigint, c bigint, id bigint, ps bigint")
-    again = hold(found.repartition(n, "h").sortWithinPartitions("h", "c", "id", "ps").mapInArrow(_again, "id bigint, ps bigint, h bigint, whole boolean"))
+    found = texts.mapInArrow(_anchor_rows, "whole boolean, h bigint, c bigint, id bigint, ps bigint")
+    again = hold(found.repartition(n, "h").sortWithinPartitions("whole", "h", "c", "id", "ps").mapInArrow(_again, "id bigint, ps bigint, h bigint, whole boolean"))
     sig = F.col("ps").bitwiseAND(F.lit(0xFFFFFF)).alias("sig")
     at = F.shiftright("ps", 24)
     whole = again.filter("whole").select("id", sig, (at - SIDE).alias("a"), (at + LENGTH).alias("b"))
