@@ -38,3 +38,11 @@ def map_texts(
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, a) for c, a in zip(made, arrow)]], names=names)
 
     return df.select(*[F.col(k) for k in keep], F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+
+
+def inline(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows as literals of the plan."""
+    fields = T._parse_datatype_string(schema).fields
+    value = lambda v, t: F.array(*map(F.lit, v)) if isinstance(t, T.ArrayType) else F.lit(v).cast(t)
+    made = [F.struct(*[value(v, f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*made)))

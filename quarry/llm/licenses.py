@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import inline
 from quarry.scale import hold
 
 THRESHOLD = 0.9
@@ -105,7 +106,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", templates=TE
         ordered = sorted(tokens, key=rank.get)
         for at, token in enumerate(ordered[: len(tokens) - need[k] + 1]):
             prefix.append((token, k, label, at, len(tokens), need[k], ordered))
-    index = F.broadcast(spark.createDataFrame(prefix, "token string, template int, label string, at int, size int, need int, tokens array<string>"))
+    index = F.broadcast(inline(spark, prefix, "token string, template int, label string, at int, size int, need int, tokens array<string>"))
     ranks = F.create_map(*[F.lit(x) for t, i in rank.items() for x in (t, i)])
     starting = F.array(*[F.lit(t) for t in sorted({p[0] for p in prefix})])
     blocks = rows.select("id", "sig", F.explode("blocks").alias("block")).filter(F.arrays_overlap("block", starting))

@@ -175,18 +175,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     stored = routed.select("id", "v", F.get("parts", F.lit(0)).alias("part"))
     # one number of rows and of queries for each part
     counts = stored.groupBy("part").agg(F.count("*").alias("n")).join(asked.groupBy("part").agg(F.count("*").alias("m")), "part").collect()
+    if not counts:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     grid = spark.createDataFrame([(r["part"], -(-r["n"] // ROWS), -(-r["m"] // QUERIES)) for r in counts], "part int, row_blocks int, query_blocks int")
     grid = F.broadcast(grid)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda n: F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.col(n)).cast("int")
     r = stored.join(grid, "part").select("id", "v", "part", of("row_blocks").alias("rb"), each("query_blocks").alias("qb"))
-    q = asked.join(grid, "part").select("id", "v", "part", of("query_blocks").alias("qb"), each("row_blocks").alias("rb"))
+    q = asked.join(grid, "part").select(F.col("id").alias("query"), F.col("v").alias("qv"), F.col("part").alias("q_part"), of("query_blocks").alias("q_qb"), each("row_blocks").alias("q_rb"))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return nearest([], np.zeros((0, 1)), np.array([], "int64"), np.zeros((0, 1)), k)
-        return nearest(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), k)
+        return nearest(left["query"].to_numpy(), np.stack(left["qv"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), k)
 
-    key = ["part", "rb", "qb"]
-    near = q.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(cell, "query_id bigint, vec_id bigint, score double")
+    near = q.groupBy("q_part", "q_rb", "q_qb").cogroup(r.groupBy("part", "rb", "qb")).applyInPandas(cell, "query_id bigint, vec_id bigint, score double")
     return top_k(near, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

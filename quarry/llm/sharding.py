@@ -24,6 +24,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import inline
 from quarry.scale import hold, running_totals
 
 CELLS = 1 << 14
@@ -76,8 +77,7 @@ class Ends:
         if not wanted:
             return
         cells = [(self.cell[i], self.known[i - 1] if i else self.start, self.known[i]) for i in sorted(wanted)]
-        spark = self.ends.sparkSession
-        asked = F.broadcast(spark.createDataFrame(cells, "c bigint, below bigint, above bigint"))
+        asked = F.broadcast(inline(self.ends.sparkSession, cells, "c bigint, below bigint, above bigint"))
         inside = self.ends.join(asked, "c").filter("end > below and end <= above")
         width = F.ceil((F.col("above") - F.col("below")) / F.lit(FINER))
         rows = self._summary(inside.groupBy("c", "above", F.floor((F.col("end") - F.col("below") - 1) / width)))
