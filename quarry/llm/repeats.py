@@ -115,6 +115,9 @@ def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     h, c, ids, ps = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((ps, ids, c, h))
     h, c, ids, ps = h[order], c[order], ids[order], ps[order]
+    new = np.ones(len(h), bool)  # a repeated row is no earlier place
+    new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (ps[1:] != ps[:-1])
+    h, c, ids, ps = h[new], c[new], ids[new], ps[new]
     whole = np.zeros(len(h), bool)
     whole[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
     h[whole] = mixed(ids[whole].view(np.uint64) ^ ps[whole].view(np.uint64), 3).view(np.int64)
@@ -144,9 +147,13 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
         new_h[0] = ph is None or h[0] != ph
         new_c[0] = new_h[0] or c[0] != pc
+        same = np.zeros(len(h), bool)
+        same[1:] = (ids[1:] == ids[:-1]) & (ps[1:] == ps[:-1])
+        same[0] = wait is not None and (ids[0], ps[0]) == wait[2:4]
+        repeat = ~new_c & ~same
         first = np.flatnonzero(new_c)
         several = ~new_h[first]
-        rows = [(ids[~new_c], ps[~new_c], h[~new_c], np.ones(int((~new_c).sum()), bool))]
+        rows = [(ids[repeat], ps[repeat], h[repeat], np.ones(int(repeat.sum()), bool))]
         if len(first):
             if wait and (wait[4] or several[0]):
                 rows.append(tuple(np.array([v]) for v in (wait[2], wait[3], wait[0], False)))
