@@ -34,7 +34,7 @@ WORDS = rf"\p{{L}}+|'(?:[stmd]|re|ve|ll)|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 LATIN_LETTER, LATIN_NUMBER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN_WORDS = rf"[{LATIN_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{LATIN_NUMBER}]|[^\t-\r\x20\x85\xa0{LATIN_LETTER}{LATIN_NUMBER}]+"
 PIECE = 1 << 16  # code points of a text handled at a time
-CACHED_WORDS = 400_000  # words kept with their encoding; later ones run through the transducer
+CACHED_WORDS = 150_000  # words kept with their encoding; later ones run through the transducer
 CACHED_STATES = 150_000  # states kept; beyond that the transducer is derived anew
 LONG_WORD = 64  # bytes; longer words are encoded each time they occur
 
@@ -57,7 +57,8 @@ def latin(text: str) -> bool:
 
 class State:
     """What the transducer remembers between symbols: the symbols after the last stable token
-    and the last token of each prefix since then, that one first. ``step`` maps a symbol to (stable tokens to emit, next state)."""
+    and the last token of each prefix since then, that one first. ``step`` maps a byte, plus 256
+    at the end of a word, to (stable tokens to emit, next state)."""
 
     __slots__ = ("last", "pending", "step")
 
@@ -90,6 +91,7 @@ class Transducer:
         self.space = regex.compile(f"[{SPACE}]")
         self.spines: dict[tuple[str, int], list[tuple[str, int]]] = {}  # two for a token at most
         self.states: dict[tuple[str | None, str], State] = {}
+        self.start = self.state([""], "")
         self.known: dict[str, tuple[str, str]] = {}
 
     @staticmethod
@@ -159,11 +161,11 @@ class Transducer:
             found = self.states[key] = State(tuple(last), pending)
         return found
 
-    def derive(self, state: State, symbol: str) -> tuple[tuple[str, str] | None, State | None]:
+    def derive(self, state: State, key: int) -> tuple[tuple[str, str] | None, State | None]:
         """The transition of a state: ids and tokens that became stable, and the next state.
-        A symbol with the end mark emits the rest of the word."""
-        end = symbol.endswith(END) and len(symbol) > len(END)
-        last, text = list(state.last), state.pending + symbol.removesuffix(END if end else "")
+        The end of a word emits the rest."""
+        end = key > 255
+        last, text = list(state.last), state.pending + self.alphabet[key & 255]
         last.append(self.last_token(text, last, end))
         if end:
             tokens = [*self.back(last, len(text) - len(self.symbols(last[-1]))), last[-1]]
@@ -179,25 +181,19 @@ class Transducer:
             tokens = self.back(last, stable)
             nxt = self.state(last[stable:], text[stable:])
         out = (" ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens)) if tokens else None
-        state.step[symbol] = out, nxt
+        state.step[key] = out, nxt
         return out, nxt
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[tuple[str, str]]:
-        """Stable (ids, tokens) of one word, whose last symbol carries the end mark."""
-        state = self.state([""], "")
-        for symbol in symbols:
-            found = state.step.get(symbol)
-            out, state = found or self.derive(state, symbol)
-            if out:
-                yield out
-
     def word(self, word: str) -> tuple[str, str]:
-        """Ids and tokens of a word, each joined by spaces."""
-        alphabet, raw = self.alphabet, word.encode()
-        symbols = [alphabet[b] for b in raw]
-        symbols[-1] += END
-        ids, tokens = zip(*self.stream(symbols))
-        found = " ".join(ids), " ".join(tokens)
+        """Ids and tokens of a word, each joined by spaces, collected as they become stable."""
+        raw, state, out = word.encode(), self.start, []
+        for key in raw[:-1]:
+            stable, state = state.step.get(key) or self.derive(state, key)
+            if stable:
+                out.append(stable)
+        key = raw[-1] + 256
+        out.append((state.step.get(key) or self.derive(state, key))[0])
+        found = " ".join([s[0] for s in out]), " ".join([s[1] for s in out])
         if len(raw) <= LONG_WORD and len(self.known) < CACHED_WORDS:
             self.known[word] = found
         return found
