@@ -28,6 +28,8 @@ def closure(folders: DataFrame) -> DataFrame:
         above = known.select(F.col("folder_id").alias("via"), "ancestor_id", "distance")
         further = salted_join(jump, above, ["via"], ["folder_id"], salts=8)
         known = hold(known.unionByName(further.select("folder_id", "ancestor_id", (F.col("distance") + span).alias("distance"))))
+        if not known.filter("folder_id = ancestor_id and distance > 0").isEmpty():
+            break  # a folder above itself: on a cycle the rows would double every round
         next_hop = jump.select(F.col("folder_id").alias("via"), F.col("via").alias("far"))
         jump = hold(salted_join(jump, next_hop, ["via"], ["folder_id"], salts=8).select("folder_id", F.col("far").alias("via")))
         span *= 2

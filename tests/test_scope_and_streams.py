@@ -17,6 +17,11 @@ def folders(spark, rows):
     return spark.createDataFrame(rows, "folder_id string, parent_id string, name string")
 
 
+def test_cycle_is_found_within_a_few_rounds(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        ac.closure(folders(spark, [("a", "c", "a"), ("b", "a", "b"), ("c", "b", "c"), ("d", None, "d")]))
+
+
 def test_deep_closure_and_cycle(spark, monkeypatch):
     f = folders(spark, [(f"f{i}", f"f{i - 1}" if i else None, f"n{i}") for i in range(11)])
     tree = ac.closure(f)

@@ -215,3 +215,17 @@ def test_highlights_and_snippet(spark):
     spans = spark.createDataFrame([("one, two  three", [1])], "text string, p array<int>").select(
         hl.phrase_spans("text", F.col("p"), F.lit(2))).first()[0]
     assert [(s.start, s.end) for s in spans] == [(5, 15)]
+
+
+def test_web_search_negated_phrase_alternatives_and_plain_not(spark):
+    from quarry.operators import fulltext as ft
+
+    texts = ["apple pear", "apple grape melon", "apple melon grape", "kiwi plum", "plum kiwi", "fig"]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    index = ix.held(ix.build(ix.zone_rows(docs, {"body": F.col("text")})))
+    queries = ['apple -"grape melon"', '"kiwi plum" or fig', "apple NOT melon", "apple -melon", '"plum kiwi" or "kiwi plum" -fig', "pear or"]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id bigint, query string")
+    got = {}
+    for r in ft.search(index, asked, 10).collect():
+        got.setdefault(r.query_id, set()).add(r.doc_id)
+    assert got == {0: {1, 3}, 1: {4, 6}, 2: {2, 3}, 3: {1}, 4: {4, 5}, 5: {1}}
