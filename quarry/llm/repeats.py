@@ -12,17 +12,21 @@ occur again are followed up. A piece is an anchor with all windows through it.
    collection: its suffix order is built one column per round from the right, every round inserts one symbol of each
    piece (a stable sort by that symbol), and neighbours in the order with a common prefix of
    ``LENGTH`` form the classes of equal windows. All but the earliest of a class are repeated.
+   Anchors with more than ``TOGETHER`` pieces are split first: the windows of a piece are halved by their start, and
+   a half is grouped by the bytes that all its windows hold. Groups still too large are split again; those of one
+   window hold equal windows only and need no more than their earliest place.
 3. The spans of each document are joined, and its bytes outside them kept.
 
 Earlier means a smaller id (null first), in one document a smaller start. Texts that share an id are
 compared in hash order at equal starts; identical rows count once and each gets the same result. Null and short texts
-keep all. Hashes have 64 bits for the anchor and 64 for the piece. The distinct pieces of one anchor
-meet in one task (170 bytes each), as do the spans of one document.
+keep all. Hashes have 64 bits for the anchor and 64 for the piece. The places of one anchor pass through
+one task in step 1, as a sorted stream that is never held; the spans of one document meet in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +43,9 @@ SIDE = LENGTH - GRAM  # bytes of a piece on each side of its anchor
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 NO_ID = -(1 << 63)
-TOGETHER = 20_000  # pieces sorted at a time, more only if one anchor has more
+TOGETHER = 20_000  # pieces of a group sorted at a time; larger groups are split
+
+PIECE = "k bigint, lo int, hi int, id bigint, ps bigint, left int, piece binary"  # key, first and last window, place, bytes left of the anchor
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -168,23 +174,46 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, id, ps, bytes left of the anchor, piece: from packed texts and their places."""
+    """Pieces (PIECE) of all windows, from packed texts and their places."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        cols: list[list] = [[] for _ in range(5)]
+        cols: list[list] = [[] for _ in range(7)]
         for i, packed, places in zip(batch.column(0), batch.column(1), batch.column(2)):
             raw, i = unpack(packed.as_py()), i.as_py()
             for place in places.as_py():
                 at = place["ps"] >> 24
                 start = max(0, at - SIDE)
-                for col, v in zip(cols, (place["h"], i, place["ps"], at - start, raw[start : at + LENGTH])):
+                for col, v in zip(cols, (place["h"], 0, SIDE, i, place["ps"], at - start, raw[start : at + LENGTH])):
+                    col.append(v)
+        yield _piece_batch(cols)
+
+
+def _piece_batch(cols: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["k", "lo", "hi", "id", "ps", "left", "piece"])
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece under one key for each half of its windows ``lo`` to ``hi``: a hash of the old key
+    and of the bytes that all windows of the half hold. Halves without a window are left out."""
+    for batch in batches:
+        cols: list[list] = [[] for _ in range(7)]
+        for k, lo, hi, i, ps, left, piece in zip(*[c.to_pylist() for c in batch.columns]):
+            begin = SIDE - left
+            mid = (lo + hi) // 2
+            for a, b in ((lo, mid), (mid + 1, hi)):
+                if max(a, begin) > min(b, begin + len(piece) - LENGTH):
+                    continue
+                common = piece[b - begin : a + LENGTH - begin]
+                key = hashlib.blake2b(common, digest_size=8, key=struct.pack("<qBB", k, a, b)).digest()
+                for col, v in zip(cols, (int.from_bytes(key, "little", signed=True), a, b, i, ps, left, piece)):
                     col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "id", "ps", "left", "piece"])
+        yield _piece_batch(cols)
 
 
-def repeated_windows(left: np.ndarray, pieces: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece the first and the last of its windows that an earlier piece also has (-1:
-    none). ``place`` ranks the pieces by where they start."""
+def repeated_windows(left: np.ndarray, pieces: list[bytes], place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the first and the last of its windows ``lo`` to ``hi`` that an earlier piece
+    also has (-1: none). ``place`` ranks the pieces by where they start."""
     n, width = len(pieces), 2 * SIDE + GRAM
     grid = np.zeros((n, width), np.uint8)
     for i, p in enumerate(pieces):
@@ -192,6 +221,7 @@ def repeated_windows(left: np.ndarray, pieces: list[bytes], place: np.ndarray) -
         grid[i, at : at + len(p)] = np.frombuffer(p, np.uint8)
     begin = SIDE - left
     end = begin + np.array([len(p) for p in pieces])
+    lo, hi = np.maximum(lo, begin), np.minimum(hi, end - LENGTH)
     columns = np.ascontiguousarray(grid.T)
     first, last = np.full(n, -1), np.full(n, -1)
     order = np.arange(n)
@@ -199,7 +229,7 @@ def repeated_windows(left: np.ndarray, pieces: list[bytes], place: np.ndarray) -
         order = order[np.argsort(columns[s][order], kind="stable")]
         if s > SIDE:
             continue
-        rows = order[(begin[order] <= s) & (end[order] >= s + LENGTH)]
+        rows = order[(lo[order] <= s) & (s <= hi[order])]
         if len(rows) < 2:
             continue
         windows = grid[rows, s : s + LENGTH]
@@ -212,15 +242,15 @@ def repeated_windows(left: np.ndarray, pieces: list[bytes], place: np.ndarray) -
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans (id, sig, from, to) out of pieces sorted by anchor, whole anchors at a time."""
+    """Spans (id, sig, from, to) out of pieces sorted by key, whole groups at a time."""
     held: list[tuple] = []
 
     def spans(rows: list[tuple]) -> pa.RecordBatch:
-        _, ids, ps, left, pieces = zip(*rows)
-        ids, ps, left = np.array(ids, np.int64), np.array(ps, np.int64), np.array(left, np.int64)
+        _, lo, hi, ids, ps, left, pieces = zip(*rows)
+        ids, ps, left, lo, hi = [np.array(x, np.int64) for x in (ids, ps, left, lo, hi)]
         place = np.empty(len(rows), np.int64)
         place[np.lexsort((ps, ids))] = np.arange(len(rows))
-        first, last = repeated_windows(left, list(pieces), place)
+        first, last = repeated_windows(left, list(pieces), place, lo, hi)
         hit = first >= 0
         origin = (ps[hit] >> 24) - SIDE
         return _batch([(ids[hit], ps[hit] & 0xFFFFFF, origin + first[hit], origin + last[hit] + LENGTH)], ("id", "sig", "a", "b"))
@@ -271,10 +301,42 @@ def spans(texts: DataFrame, packed: DataFrame) -> DataFrame:
     sig = F.col("ps").bitwiseAND(F.lit(0xFFFFFF)).alias("sig")
     at = F.shiftright("ps", 24)
     whole = again.filter("whole").select("id", sig, (at - SIDE).alias("a"), (at + LENGTH).alias("b"))
-    places = again.filter("not whole").groupBy("id", sig).agg(F.collect_list(F.struct("h", "ps")).alias("places"))
-    pieces = packed.join(places, ["id", "sig"]).select("id", "packed", "places").mapInArrow(_pieces, "h bigint, id bigint, ps bigint, left int, piece binary")
-    resolved = pieces.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_resolved, "id bigint, sig bigint, a bigint, b bigint")
-    return whole.unionAll(resolved)
+    several = again.filter("not whole").select("id", "ps", "h", sig)
+
+    def fetched(rows: DataFrame) -> DataFrame:
+        places = rows.groupBy("id", "sig").agg(F.collect_list(F.struct("h", "ps")).alias("places"))
+        return packed.join(places, ["id", "sig"]).select("id", "packed", "places").mapInArrow(_pieces, PIECE)
+
+    def resolved(pieces: DataFrame) -> DataFrame:
+        return pieces.repartition(n, "k").sortWithinPartitions("k").mapInArrow(_resolved, "id bigint, sig bigint, a bigint, b bigint")
+
+    large = hold(several.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > TOGETHER).select("h"))
+    if large.isEmpty():
+        return whole.unionAll(resolved(fetched(several)))
+    out = whole.unionAll(resolved(fetched(several.join(large, "h", "left_anti"))))
+    open_ = hold(fetched(several.join(large, "h", "left_semi")).mapInArrow(_halves, PIECE))
+    for _ in range(SIDE.bit_length()):
+        one = F.col("lo") == F.col("hi")
+        sizes = open_.groupBy("k").agg(F.count("*").alias("n"))
+        large = hold(sizes.filter(F.col("n") > TOGETHER).select("k"))
+        if large.isEmpty():
+            break
+        out = out.unionAll(resolved(open_.join(large, "k", "left_anti")))
+        rest = open_.join(large, "k", "left_semi")
+        out = out.unionAll(_late(rest.filter(one)))
+        open_ = hold(rest.filter(~one).mapInArrow(_halves, PIECE))
+    return out.unionAll(resolved(open_))
+
+
+def _late(pieces: DataFrame) -> DataFrame:
+    """Spans of pieces with one window each: of equal windows all but the earliest."""
+    start = F.shiftright("ps", 24) + F.col("lo") - SIDE
+    window = F.expr(f"substring(piece, lo - {SIDE} + left + 1, {LENGTH})")
+    rows = pieces.select("id", start.alias("a"), F.col("ps").bitwiseAND(F.lit(0xFFFFFF)).alias("sig"), window.alias("w"))
+    place = F.struct("id", "a", "sig")  # the same for each anchor of a window
+    first = rows.groupBy("w").agg(F.min(place).alias("first"))
+    late = rows.join(first, "w").filter(place != F.col("first"))
+    return late.select("id", "sig", "a", (F.col("a") + LENGTH).alias("b"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

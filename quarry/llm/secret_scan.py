@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ MIN_LITERAL = 6
 REDACTED = "[secret]"
 
 _ASSIGNED = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?:\[?["']\]?)?[ \t]*(?::=|=>|[:=])[ \t]*"""
+    r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z0-9_.-]++)(?:\[?["']\]?)?[ \t]*(?::=|=>|[:=])[ \t]*"""
     r"""(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_./+$][A-Za-z0-9_./+=-]*)(?:[ \t]*\+[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
 )
 _PART = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"'+][^\s"']*?)(?=[ \t]*(?:\+[ \t]|$))""")
@@ -103,10 +105,16 @@ def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     best: dict[tuple[int, int], float] = {}
     for name, start, end in lexed(text):
         best[start, end] = max(best.get((start, end), 0.0), name_score(name))
+    starts, ends = [a for a, _, _ in base], list(accumulate([b for _, _, b in base], max))
+
+    def covered(start: int, end: int) -> bool:
+        before = bisect_right(starts, start)
+        return before > 0 and ends[before - 1] >= end
+
     added = [
         (start, 3, end)
         for (start, end), named in best.items()
-        if named > 0 and named * literal_score(text[start:end]) >= MIN_SCORE and not any(a <= start and end <= b for a, _, b in base)
+        if named > 0 and not covered(start, end) and named * literal_score(text[start:end]) >= MIN_SCORE
     ]
     return sorted([*base, *added])
 

@@ -118,6 +118,18 @@ def test_secrets(spark, texts):
     assert clean[6].text is None and clean[3].text == texts[3] and clean[3].sig == "y"
 
 
+def test_secrets_in_long_texts():
+    many = "".join([f"password=abcdef{i} " for i in range(20_000)])
+    for text in ("a" * 300_000, "a." * 200_000 + " = 'x'", many, "token: '" * 50_000, " " * 300_000):
+        base = secret_scan.base_spans(text)
+        assert set(base) <= set(secret_scan.all_spans(text, base))
+    assert len(secret_scan.base_spans(many)) == 20_000
+    text = 'apiToken = "Zx81kQpL77aa" \npassword="Zx81kQpL77aa"'
+    assert secret_scan.written(secret_scan.all_spans(text, secret_scan.base_spans(text))) == "assign:3:24,assign:27:49"
+    text = "my.access-key := 'Zx81kQpL77aa'"
+    assert secret_scan.written(secret_scan.all_spans(text, [])) == "literal:18:30"
+
+
 def test_licenses(spark):
     given = ["Released under the MIT License.", "x MIT license, mit-License y\nApache é License", "the mit of license", None, "", "This work is licensed under the GNU General Public License, version 3.",
              "Redistribution and use in source and binary forms, with or without modification, are permitted provided that following conditions are met: x", "Licensed under CC BY-NC 4.0."]
@@ -160,9 +172,11 @@ def test_shards(spark):
     assert sharding.minimax(df.limit(0), 7, "size", F.col("k"), ["doc_id"]).count() == 0
 
 
-def test_repeats_equal_brute_force(spark, texts):
+@pytest.mark.parametrize("together", [20_000, 2])
+def test_repeats_equal_brute_force(spark, texts, monkeypatch, together):
+    monkeypatch.setattr(repeats, "TOGETHER", together)  # groups above it are split
     rng = random.Random(9)
-    given = [*texts, texts[5][100:900] + prose(rng, 30) + texts[5][500:1500], prose(rng, 50) + texts[4]]
+    given = [*texts, texts[5][100:900] + prose(rng, 30) + texts[5][500:1500], prose(rng, 50) + texts[4], *[prose(rng, 9) + texts[5][300 + i % 3 : 420 + i] + prose(rng, 9) for i in range(8)]]
     got = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, given)).collect()}
     seen = set()
     for i, t in enumerate(given):
