@@ -18,6 +18,7 @@ import codecs
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +35,7 @@ WORDS = rf"\p{{L}}+|'(?:[stmd]|re|ve|ll)|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 LATIN_LETTER, LATIN_NUMBER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN_WORDS = rf"[{LATIN_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{LATIN_NUMBER}]|[^\t-\r\x20\x85\xa0{LATIN_LETTER}{LATIN_NUMBER}]+"
 PIECE = 1 << 16  # code points of a text handled at a time
-CACHED_WORDS = 150_000  # words kept with their encoding; later ones run through the transducer
+CACHED_WORDS = 100_000  # words kept with their encoding; later ones run through the transducer
 CACHED_STATES = 150_000  # states kept; beyond that the transducer is derived anew
 LONG_WORD = 64  # bytes; longer words are encoded each time they occur
 
@@ -139,7 +140,7 @@ class Transducer:
         for n in range(min(len(text), self.lookahead), 0, -1):
             token = text[-n:] + mark
             if token in self.vocab and last[-n] is not None and self.allowed(last[-n], token):
-                return token
+                return sys.intern(token)  # states share their tokens
         return None
 
     @staticmethod
@@ -239,15 +240,27 @@ class Transducer:
                     yield found
 
 
-def load(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def load(path: str) -> tuple[str, dict]:
+    """Digest and parsed content of a tokenizer file."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    return hashlib.sha256(raw).hexdigest(), json.loads(raw)
 
 
-def digests(spec: dict):
+_coders: dict[str, Transducer] = {}
+
+
+def coder_of(name: str, spec: dict) -> Transducer:
+    """The transducer of this worker process; later tasks go on with what earlier ones derived."""
+    if name not in _coders:
+        _coders.clear()
+        _coders[name] = Transducer(spec)
+    return _coders[name]
+
+
+def digests(coder: Transducer):
     """Function of one text: number of tokens, digests of the ids and of the tokens as the
     library decodes them, joined by spaces."""
-    coder = Transducer(spec)
 
     def of(raw: bytes) -> tuple[int, str, str]:
         n, ids_sum, tokens_sum, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
@@ -267,7 +280,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     tokenizer file, read once by the driver and sent to the tasks."""
     spec = df.sparkSession.sparkContext.broadcast(load(tokenizer))
     fields = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    return map_texts(df, [id_col], lambda: digests(spec.value), fields, text)
+    return map_texts(df, [id_col], lambda: digests(coder_of(*spec.value)), fields, text)
 
 
 def token_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,7 +288,7 @@ def token_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     spec = df.sparkSession.sparkContext.broadcast(load(tokenizer))
 
     def make():
-        coder = Transducer(spec.value)
+        coder = coder_of(*spec.value)
 
         def of(raw: bytes) -> tuple[str, str]:
             words = [w for part in coder.encode(raw.decode()) for w in part]
