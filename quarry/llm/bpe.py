@@ -156,12 +156,17 @@ class Transducer:
         found = self.states.get(key)
         if found is None:
             if len(self.states) >= CACHED_STATES:
-                for old in self.states.values():
-                    old.step.clear()
-                self.states.clear()
+                self.forget()
             found = self.states[key] = State(tuple(last), pending)
         return found
 
+    def forget(self) -> None:
+        """Drops what was derived; states refer to each other, so their links are cut."""
+        for old in self.states.values():
+            old.step.clear()
+        self.states.clear()
+        self.start.step.clear()
+
     def derive(self, state: State, key: int) -> tuple[tuple[str, str] | None, State | None]:
         """The transition of a state: ids and tokens that became stable, and the next state.
         The end of a word emits the rest."""
@@ -240,27 +245,15 @@ class Transducer:
                     yield found
 
 
-def load(path: str) -> tuple[str, dict]:
-    """Digest and parsed content of a tokenizer file."""
-    with open(path, "rb") as f:
-        raw = f.read()
-    return hashlib.sha256(raw).hexdigest(), json.loads(raw)
-
-
-_coders: dict[str, Transducer] = {}
-
-
-def coder_of(name: str, spec: dict) -> Transducer:
-    """The transducer of this worker process; later tasks go on with what earlier ones derived."""
-    if name not in _coders:
-        _coders.clear()
-        _coders[name] = Transducer(spec)
-    return _coders[name]
+def load(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
 
-def digests(coder: Transducer):
+def digests(spec: dict):
     """Function of one text: number of tokens, digests of the ids and of the tokens as the
     library decodes them, joined by spaces."""
+    coder = Transducer(spec)
 
     def of(raw: bytes) -> tuple[int, str, str]:
         n, ids_sum, tokens_sum, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
@@ -272,6 +265,7 @@ def digests(coder: Transducer):
             gap = " "
         return n, ids_sum.hexdigest(), tokens_sum.hexdigest()
 
+    of.close = coder.forget
     return of
 
 
@@ -280,7 +274,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     tokenizer file, read once by the driver and sent to the tasks."""
     spec = df.sparkSession.sparkContext.broadcast(load(tokenizer))
     fields = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    return map_texts(df, [id_col], lambda: digests(coder_of(*spec.value)), fields, text)
+    return map_texts(df, [id_col], lambda: digests(spec.value), fields, text)
 
 
 def token_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,12 +282,13 @@ def token_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     spec = df.sparkSession.sparkContext.broadcast(load(tokenizer))
 
     def make():
-        coder = coder_of(*spec.value)
+        coder = Transducer(spec.value)
 
         def of(raw: bytes) -> tuple[str, str]:
             words = [w for part in coder.encode(raw.decode()) for w in part]
             return " ".join([w[0] for w in words]), coder.text(t for w in words for t in w[1].split(" "))
 
+        of.close = coder.forget
         return of
 
     return map_texts(df, [id_col], make, [("ids", "string"), ("restored", "string")], text)

@@ -124,7 +124,7 @@ def token_counts(labelled: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for kind, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 counts[kind].update(set(tokens(raw.as_py() or b"")))  # texts that hold the token
-                if len(counts[kind]) > 200_000:  # keeps the task's memory bounded
+                if sum(map(len, counts.values())) > 150_000:  # keeps the task's memory bounded
                     yield emitted()
         yield emitted()
 
