@@ -132,21 +132,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     """``id_col``, ``sig`` (XXH64 of the text), ``fp`` and ``component_id`` of every row."""
     rows = hold(fingerprints(df.select(id_col, F.xxhash64(text).alias("sig"), text), [id_col, "sig"], text))
     fps = hold(rows.groupBy("fp").agg(F.min(id_col).alias("first")))
-    found = components(links(fps))
+    return named(rows, fps, links(fps), id_col)
+
+
+def named(rows: DataFrame, fps: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with the ``component_id`` of their ``fp``: the smallest ``first`` of its component."""
+    found = components(pairs)
     nodes = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     names = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = hold(nodes.join(hold(names), "label").select("fp", "component_id"))
-    return rows.join(named, "fp").select(id_col, "sig", "fp", "component_id")
+    of_fp = hold(nodes.join(hold(names), "label").select("fp", "component_id"))
+    return rows.join(of_fp, "fp").select(id_col, "sig", "fp", "component_id")
 
 
 def hexadecimal(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def first_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` with the smallest id of their component, one for each component
-    (of rows without id the one with the smallest hash)."""
-    found = near_duplicates(df, id_col, text)
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", find=near_duplicates) -> DataFrame:
+    """The rows of ``df`` with the smallest id of their component in ``find(df, id_col, text)``, one for
+    each component (of rows without id the one with the smallest hash)."""
+    found = find(df, id_col, text)
     name = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("_id"), F.col("sig").alias("_sig"))
     chosen = found.groupBy(name.alias("name")).agg(F.min(key).alias("k")).select("k._id", "k._sig").distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import bpe, fingerprints, licenses, mixing, neighbours, repeats, secret_scan, sharding, simhash, toxicity
+from quarry.llm import bpe, fingerprints, licenses, mixing, near_copies, neighbours, repeats, secret_scan, sharding, simhash, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, sig string, score double"
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
@@ -85,6 +85,46 @@ def test_links_are_all_found_also_in_large_groups(spark, monkeypatch, hot):
     assert all(labels[a] == labels[b] for a, b in want) and all(labels[labels[a]] == labels[a] <= a for a in labels)
 
 
+def test_near_copies_stage_equals_brute_force(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 200))] for _ in range(12)]
+    made = [" ".join(w) for w in base]
+    for w in base:
+        for edits in (1, 2, 3, 4, 6, 8):  # copies with changed words, similarity about 0.6 to 0.97
+            copy = list(w)
+            for at in rng.sample(range(len(w)), edits):
+                copy[at] = f"x{rng.randrange(10**9)}"
+            made.append(" ".join(copy))
+    passage = " ".join(f"p{i}" for i in range(30))
+    made += [f"{passage} " + " ".join(f"q{k}_{i}" for i in range(20)) for k in range(40)]  # a common passage
+    made += [None, "", " ", "four words stand here", "Four words  stand here", "four words stand there"]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    sets, top = [shingles(t) for t in made], list(range(len(made)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    band = 0
+    for a in range(len(made)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            band += 0.8 <= j < 0.95
+            if j >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    assert band > 20
+    kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, frame(spark, made), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(made)) if root(i) == i]
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, made)).collect()}
+    assert found == {i: root(i) for i in range(len(made))}
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(1)
     given = [prose(rng, rng.randint(1, 60)) for _ in range(300)] + [None, "", "   "]
