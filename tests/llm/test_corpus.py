@@ -181,6 +181,39 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_wrapped_licenses_equal_brute_force_over_all_windows(spark):
+    rng = random.Random(4)
+    given = []
+    for _, template in licenses.TEMPLATES:
+        parts = template.split(" ")
+        for width in (4, 9):
+            lines = [" ".join(parts[i : i + width]) for i in range(0, len(parts), width)]
+            given.append(prose(rng, rng.randint(0, 90)) + "\n# " + "\n# ".join(lines) + ".\n" + prose(rng, 40))
+        mixed_in = [p for x in parts for p in ([x, "zz"] if rng.random() < 0.45 else [x])]  # near the width of a window
+        given.append(prose(rng, 31) + "\n" + "\n".join(mixed_in))
+        given.append(" ".join(f"{x} " + "zz " * 60 for x in parts))  # scattered over one long line
+    given.append(" ".join(rng.choice(" ".join(t for _, t in licenses.TEMPLATES).split()) for _ in range(3000)))
+
+    def slow(t):
+        w, found, best = [x for x in re.split("[^a-z0-9\x80-\U0010ffff]+", t.lower()) if x], set(), 0.0
+        for label, template in licenses.TEMPLATES:
+            parts = template.split(" ")
+            n, tokens = math.ceil(licenses.SPREAD * len(parts)), set(parts)
+            most = max(len(tokens & set(w[i : i + n])) for i in range(len(w)))
+            if most >= licenses.THRESHOLD * len(tokens) - 1e-9:
+                found.add(label)
+                best = max(best, most / len(tokens))
+        return found, best
+
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, given)).collect()}
+    for i, t in enumerate(given):
+        found, best = slow(t)
+        assert set(filter(None, got[i].labels.split(","))) == found | set(filter(None, got[i].base_labels.split(",")))
+        assert math.isclose(got[i].score, 1.0 if got[i].n_base else best)
+    assert all(got[4 * k + j].score == 1.0 and label in got[4 * k + j].labels for k, (label, _) in enumerate(licenses.TEMPLATES) for j in (0, 1))
+    assert all(got[4 * k + 3].labels == "" for k in range(len(licenses.TEMPLATES)))
+
+
 def test_shards(spark):
     rng = random.Random(3)
     keys = [str(rng.randint(0, 60)) for _ in range(400)] + ["big"] * 300 + [None] * 5
