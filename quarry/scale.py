@@ -112,6 +112,17 @@ def hold(
     return spark.table(name)
 
 
+def release(*held: DataFrame) -> None:
+    """Delete the files of tables made by ``hold`` that nothing reads any more."""
+    for df in held:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not path.rsplit("/", 1)[-1].startswith("quarry_"):
+                raise ValueError(f"{path} is not a held table")
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def row_count(df: DataFrame) -> Column:
     """Number of rows as a scalar subquery (one value; evaluated once per plan)."""
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
