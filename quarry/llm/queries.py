@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprints, licenses, mixing, neighbours, repeats, secret_scan, sharding, simhash, toxicity
+from quarry.llm import bpe, fingerprints, licenses, mixing, neighbours, oracles, phrases, repeats, secret_scan, sharding, simhash, toxicity
 from quarry.llm.common import table
 from quarry.scale import hold
 
@@ -62,5 +62,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_secret_scan, op4_licenses, op5_sharding, op6_bpe, op7_repeats, op8_neighbours, op9_toxicity, op10_fingerprints)}
-ORACLE: dict[str, str] = {}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_secret_scan, op4_licenses, op5_sharding, op6_bpe, op7_repeats, op8_neighbours, op9_toxicity, op10_fingerprints, op11_phrases)}
+ORACLE: dict[str, str] = {"op11_phrases": oracles.OP11_PHRASES}
