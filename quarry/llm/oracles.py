@@ -29,3 +29,20 @@ lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ph
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank FROM lowest)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+OP13_RANKED = rf"""
+WITH terms AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), docs AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM terms WHERE len(w) > 0),
+stats AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nl FROM docs),
+asked AS (
+  SELECT item_id, word, count(*) AS often FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL
+), postings AS (SELECT r, word, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS word FROM terms) SEMI JOIN asked USING (word) GROUP BY ALL),
+weights AS (SELECT word, floor(1000 * ln((2 * (SELECT nd FROM stats) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM postings GROUP BY word),
+scores AS (
+  SELECT item_id, r, sum(often * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * (SELECT nd FROM stats)) // (SELECT nl FROM stats)))))::BIGINT AS score
+  FROM asked JOIN weights USING (word) JOIN postings USING (word) JOIN docs USING (r) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores JOIN docs USING (r) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
