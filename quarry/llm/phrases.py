@@ -138,7 +138,7 @@ def _shards(limit: int):
                     sizes[lang] = sizes.get(lang, 0) + len(found)
                 if sizes.get(lang, 0) >= limit:
                     yield shard(lang)
-                elif sum(sizes.values()) >= 2 * limit:  # many languages: the largest is closed first
+                elif sum(sizes.values()) >= 1.5 * limit:  # many languages: the largest is closed first
                     yield shard(max(sizes, key=sizes.get))
         for lang in list(sizes):
             yield shard(lang)
@@ -192,45 +192,47 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             _, found = _opened(batch, i)
-            key, ids = _listed(batch.column("frequent"), i)
+            key, first, second = _listed(batch.column("frequent"), i)
             order = np.argsort(key)
-            key, ids = key[order], ids[order]
+            key, first, second = key[order], first[order], second[order]
             head, tail, c = found.triples(key)
-            yield from _rows({"head": ids[head], "tail": ids[tail], "c": c})
+            yield from _rows({"first": first[head], "second": second[head], "third": second[tail], "c": c})
 
 
 def _looked_up(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
     return many.join(F.broadcast(few) if is_small(few, LOOKUP_ROWS, LOOKUP_BYTES) else few, on)
 
 
-def _sent_back(shards: DataFrame, lists: DataFrame, key: str) -> DataFrame:
-    """The shards with the list ``frequent`` of (key, id) that belongs to each; a list is no longer than its shard."""
-    lists = lists.groupBy("shard").agg(F.collect_list(F.struct(key, "id")).alias("frequent"))
+def _sent_back(shards: DataFrame, lists: DataFrame, *columns: str) -> DataFrame:
+    """The shards with the list ``frequent`` of their own rows of ``lists``; a list is no longer than its shard."""
+    lists = lists.groupBy("shard").agg(F.collect_list(F.struct(*columns)).alias("frequent"))
     return shards.join(lists, "shard")
 
 
 def counted(df: DataFrame, text: str = "text", lang: str = "lang", least: int = FREQUENT, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words of each language (lang, n), pairs and triples of words that occur ``least`` times or more, stored.
 
-    Pairs: lang, words (array), a, l, r and id. Triples: lang, words, a, head and tail (ids of their pairs),
-    and l1, r1, l2, r2 of the cuts after the first and the second word.
+    Pairs: lang, words (array), a, l, r, and the numbers of their words (first, second). Triples: lang, words, a, the
+    numbers of their words (first, second, third), and l1, r1, l2, r2 of the cuts after the first and the second word.
+    The rows of a pair are one for each shard that holds it, so one window over them gives each shard the sum.
     """
     shards = index(df, text, lang, shard)
     totals = hold(shards.groupBy("lang").agg(F.sum("n").alias("n")))
     words = shards.mapInArrow(_words, "shard bigint, lang string, word binary, number bigint, c bigint")
     known = hold(words.groupBy("lang", "word").agg(F.sum("c").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
     back = _looked_up(words.select("shard", "lang", "word", "number"), known.select("lang", "word", "id"), ["lang", "word"])
-    pairs = hold(_sent_back(shards, back, "number").mapInArrow(_pairs, "shard bigint, key bigint, first bigint, second bigint, c bigint"))
-    often = hold(pairs.groupBy("first", "second").agg(F.sum("c").alias("a")).filter(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()))
-    back = _looked_up(pairs.select("shard", "key", "first", "second"), often.select("first", "second", "id"), ["first", "second"])
-    triples = _sent_back(shards, back, "key").mapInArrow(_triples, "head bigint, tail bigint, c bigint")
-    thrice = hold(triples.groupBy("head", "tail").agg(F.sum("c").alias("a")).filter(F.col("a") >= least))
+    local = _sent_back(shards, back, "number", "id").mapInArrow(_pairs, "shard bigint, key bigint, first bigint, second bigint, c bigint")
+    all_shards = F.sum("c").over(Window.partitionBy("first", "second")).alias("a")
+    pairs = hold(local.select("shard", "key", "first", "second", all_shards).filter(F.col("a") >= least))
+    often = hold(pairs.groupBy("first", "second").agg(F.max("a").alias("a")))
+    triples = _sent_back(shards, pairs, "key", "first", "second").mapInArrow(_triples, "first bigint, second bigint, third bigint, c bigint")
+    thrice = hold(triples.groupBy("first", "second", "third").agg(F.sum("c").alias("a")).filter(F.col("a") >= least))
     one = known.select(F.col("id").alias("first"), "lang", F.col("word").alias("w1"), F.col("f").alias("l"))
     two = known.select(F.col("id").alias("second"), F.col("word").alias("w2"), F.col("f").alias("r"))
-    named = hold(often.join(one, "first").join(two, "second").select("lang", F.array("w1", "w2").alias("words"), "a", "l", "r", "id"))
-    head = named.select(F.col("id").alias("head"), "lang", F.col("words").alias("h"), F.col("l").alias("l1"), F.col("a").alias("l2"))
-    tail = named.select(F.col("id").alias("tail"), F.col("words").alias("t"), F.col("a").alias("r1"), F.col("r").alias("r2"))
-    long = hold(thrice.join(head, "head").join(tail, "tail").select("lang", F.concat("h", F.slice("t", 2, 1)).alias("words"), "a", "head", "tail", "l1", "r1", "l2", "r2"))
+    named = hold(often.join(one, "first").join(two, "second").select("lang", F.array("w1", "w2").alias("words"), "a", "l", "r", "first", "second"))
+    head = named.select("first", "second", "lang", F.col("words").alias("h"), F.col("l").alias("l1"), F.col("a").alias("l2"))
+    tail = named.select(F.col("first").alias("second"), F.col("second").alias("third"), F.col("words").alias("t"), F.col("a").alias("r1"), F.col("r").alias("r2"))
+    long = hold(thrice.join(head, ["first", "second"]).join(tail, ["second", "third"]).select("lang", F.concat("h", F.slice("t", 2, 1)).alias("words"), "a", "first", "second", "third", "l1", "r1", "l2", "r2"))
     release(shards, known, pairs, often, thrice)
     return totals, named, long
 
@@ -248,9 +250,9 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     it occurs in at least ``inside`` percent of its places.
     """
     totals, pairs, triples = counted(df, text, lang, least, shard)
-    around = triples.select(F.col("head").alias("id"), "a").unionAll(triples.select(F.col("tail").alias("id"), "a"))
-    most = around.groupBy("id").agg(F.max("a").alias("most"))
-    free = pairs.join(most, "id", "left").filter(F.col("most").isNull() | (100 * F.col("most").cast("decimal(20,0)") < inside * F.col("a").cast("decimal(20,0)")))
+    around = triples.select("first", "second", "a").unionAll(triples.select("second", "third", "a"))
+    most = around.groupBy("first", "second").agg(F.max("a").alias("most"))
+    free = pairs.join(most, ["first", "second"], "left").filter(F.col("most").isNull() | (100 * F.col("most").cast("decimal(20,0)") < inside * F.col("a").cast("decimal(20,0)")))
     columns = ["lang", "words", "a", "l", "r", "score"]
     short = free.withColumn("score", _score("a", "l", "r")).select(columns)
     cuts = triples.withColumns({"s1": _score("a", "l1", "r1"), "s2": _score("a", "l2", "r2")})
