@@ -46,3 +46,13 @@ scores AS (
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
 FROM scores JOIN docs USING (r) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
 """
+
+OP12_REPEATS = r"""
+WITH lists AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM lists),
+windows AS (SELECT r, p, md5(array_to_string(w[p : p + 34], ' ')) AS d FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM lists)),
+repeated AS (SELECT r, p FROM windows QUALIFY count(*) OVER (PARTITION BY d) > 1),
+covered AS (SELECT words.r, words.p, word, max(repeated.p) OVER (PARTITION BY words.r ORDER BY words.p) AS last FROM words LEFT JOIN repeated ON repeated.r = words.r AND repeated.p = words.p),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM covered WHERE last IS NULL OR last <= p - 35 GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM lists LEFT JOIN kept USING (r)
+"""
