@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quarry.scale import hold, is_small, release
 
-SHARD = 2_000_000  # words; below 2**21, so that three word numbers fit one integer
+SHARD = 1_000_000  # words; below 2**21, so that three word numbers fit one integer
 DEPTH = 3
 FREQUENT, KEEP, INSIDE = 10, 2000, 50  # least count; phrases of a language; percentage that drops a part
 MILLION = 1_000_000
@@ -62,11 +62,14 @@ def word_numbers(raw: bytes, numbers: Numbers) -> np.ndarray:
 
 def transform(text: np.ndarray) -> np.ndarray:
     """Burrows-Wheeler transform of a circular text, rows ordered by their first ``DEPTH`` symbols and then by place."""
-    columns = [np.roll(text, -d).astype(np.int64) for d in range(DEPTH)]
     if len(text) and int(text.max()) < 1 << 21:
-        order = np.argsort(columns[0] << 42 | columns[1] << 21 | columns[2], kind="stable")
+        key = text.astype(np.int64)
+        for d in range(1, DEPTH):
+            key <<= 21
+            key |= np.roll(text, -d)
+        order = np.argsort(key, kind="stable")
     else:
-        order = np.lexsort(columns[::-1])
+        order = np.lexsort([np.roll(text, -d) for d in range(DEPTH - 1, -1, -1)])
     return text[order - 1]
 
 
@@ -74,18 +77,21 @@ class Index:
     """Intervals of the phrases of a shard; a phrase of ``d`` words is a number below the count of its length."""
 
     def __init__(self, bwt: np.ndarray, size: int):
-        self.bwt, self.size = bwt.astype(np.int64), size
+        self.bwt, self.size = bwt, size
         self.counts = np.bincount(bwt, minlength=size)
 
     def extended(self, inner: np.ndarray, width: int, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Left extensions of the phrases ``inner`` (one for each row, below ``width``), over rows ``keep``: word before,
         phrase, count; in the order of the rows one word deeper."""
-        keys, counts = np.unique((self.bwt * width + inner)[keep], return_counts=True)
+        keys = self.bwt[keep].astype(np.int64)
+        keys *= width
+        keys += inner[keep]
+        keys, counts = np.unique(keys, return_counts=True)
         return keys // width, keys % width, counts
 
     def words(self) -> np.ndarray:
         """The first word of each row."""
-        return np.repeat(np.arange(self.size), self.counts)
+        return np.repeat(np.arange(self.size, dtype=np.int32), self.counts)
 
     def pairs(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, second word and count of each pair of words that are both ``frequent`` (by number)."""
@@ -98,7 +104,7 @@ class Index:
         first, second, counts = self.extended(self.words(), self.size, np.ones(len(self.bwt), bool))
         intervals = first * self.size + second
         place, known = _places(keys, intervals)
-        inner = np.repeat(place, counts)  # rows of one interval lie together
+        inner = np.repeat(place.astype(np.int32), counts)  # rows of one interval lie together
         keep = np.repeat(known, counts)
         before, pair, counts = self.extended(inner, max(1, len(keys)), keep)
         ahead, known = _places(keys, before * self.size + keys[pair] // self.size)  # the right extension of (before, first)
