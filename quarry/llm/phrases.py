@@ -9,7 +9,8 @@ deeper; a right extension is found by the interval of the first words. Counts of
 
 Longer phrases hold only frequent shorter ones, so the lengths are counted one after the other: sums of
 words, then of pairs of frequent words, then of triples of two frequent pairs. Each shard gets back the
-numbers of its own frequent words and pairs (by a join; a lookup side is broadcast only if it is proven small).
+numbers of its own frequent words and pairs: all tasks get the whole tables while these are proven small
+(``LOOKUP_ROWS``, ``LOOKUP_BYTES``), beyond that each shard is joined with its own rows of them.
 
 Results for special cases: null text has no words; null language is ``und``; repeated rows count each time;
 an empty table gives no rows; a text is never split, so a shard may exceed ``SHARD`` by one text.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -183,30 +185,80 @@ def _listed(column: pa.ListArray, i: int) -> list[np.ndarray]:
     return [values.field(k).to_numpy(zero_copy_only=False) for k in range(values.type.num_fields)]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            words, found = _opened(batch, i)
-            number, ids = _listed(batch.column("frequent"), i)
-            of = np.full(found.size, -1, np.int64)
-            of[number] = ids
-            first, second, c = found.pairs(of >= 0)
-            yield from _rows({"shard": np.full(len(c), batch.column("shard")[i].as_py()), "key": first * found.size + second, "first": of[first], "second": of[second], "c": c})
+class Known:
+    """Frequent words and pairs of all shards, sent to every task while they are proven small."""
 
+    def __init__(self, words: DataFrame):
+        held = words.select("lang", "word", "id").toArrow()
+        self.ids = {lang: (rows["word"], rows["id"].to_numpy()) for lang in pc.unique(held["lang"]).to_pylist() for rows in [held.filter(pc.equal(held["lang"], lang))]}
+        self.size = held.num_rows
+        self.pairs = np.zeros(0, np.int64)
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            _, found = _opened(batch, i)
-            key, first, second = _listed(batch.column("frequent"), i)
-            order = np.argsort(key)
-            key, first, second = key[order], first[order], second[order]
-            head, tail, c = found.triples(key)
-            yield from _rows({"first": first[head], "second": second[head], "third": second[tail], "c": c})
+    def with_pairs(self, pairs: DataFrame) -> Known:
+        held = pairs.select("first", "second").toArrow()
+        self.pairs = np.sort(held["first"].to_numpy() * self.size + held["second"].to_numpy())
+        return self
+
+    def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """The number in all shards of each local word, -1 of others, the separator first."""
+        known, ids = self.ids.get(lang, (pa.array([], pa.binary()), np.zeros(0, np.int64)))
+        at = pc.fill_null(pc.index_in(pa.array(words, pa.binary()), value_set=known), -1).to_numpy()
+        return np.append(-1, np.where(at >= 0, ids[at] if len(ids) else -1, -1))
 
+    def keys(self, of: np.ndarray, found: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, second, _ = found.pairs(of >= 0)
+        _, frequent = _places(self.pairs, of[first] * self.size + of[second])
+        first, second = first[frequent], second[frequent]
+        return first * found.size + second, of[first], of[second]
 
-def _looked_up(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
-    return many.join(F.broadcast(few) if is_small(few, LOOKUP_ROWS, LOOKUP_BYTES) else few, on)
+
+def _pairs(known=None):
+    """shard, key (local), first, second (numbers in all shards) and count of each pair of frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, found = _opened(batch, i)
+                if known is None:
+                    of = np.full(found.size, -1, np.int64)
+                    number, ids = _listed(batch.column("frequent"), i)
+                    of[number] = ids
+                else:
+                    of = known.value.numbers(batch.column("lang")[i].as_py(), words)
+                first, second, c = found.pairs(of >= 0)
+                yield from _rows({"shard": np.full(len(c), batch.column("shard")[i].as_py()), "key": first * found.size + second, "first": of[first], "second": of[second], "c": c})
+
+    return run
+
+
+def _triples(known=None):
+    """Numbers of the words and count of each triple of two frequent pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, found = _opened(batch, i)
+                if known is None:
+                    key, first, second = _listed(batch.column("frequent"), i)
+                else:
+                    key, first, second = known.value.keys(known.value.numbers(batch.column("lang")[i].as_py(), words), found)
+                order = np.argsort(key)
+                key, first, second = key[order], first[order], second[order]
+                head, tail, c = found.triples(key)
+                yield from _rows({"first": first[head], "second": second[head], "third": second[tail], "c": c})
+
+    return run
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` stored with ``id``, its rows numbered without a gap."""
+    rows = hold(df.withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each partition
+    starts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    made = hold(rows.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("id", F.col("start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "start", "_row"))
+    release(rows)
+    return made
 
 
 def _sent_back(shards: DataFrame, lists: DataFrame, *columns: str) -> DataFrame:
@@ -215,23 +267,32 @@ def _sent_back(shards: DataFrame, lists: DataFrame, *columns: str) -> DataFrame:
     return shards.join(lists, "shard")
 
 
-def counted(df: DataFrame, text: str = "text", lang: str = "lang", least: int = FREQUENT, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+def counted(df: DataFrame, text: str = "text", lang: str = "lang", least: int = FREQUENT, shard: int = SHARD, lookup_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words of each language (lang, n), pairs and triples of words that occur ``least`` times or more, stored.
 
     Pairs: lang, words (array), a, l, r, and the numbers of their words (first, second). Triples: lang, words, a, the
     numbers of their words (first, second, third), and l1, r1, l2, r2 of the cuts after the first and the second word.
-    The rows of a pair are one for each shard that holds it, so one window over them gives each shard the sum.
     """
     shards = index(df, text, lang, shard)
+    context = shards.sparkSession.sparkContext
     totals = hold(shards.groupBy("lang").agg(F.sum("n").alias("n")))
     words = shards.mapInArrow(_words, "shard bigint, lang string, word binary, number bigint, c bigint")
-    known = hold(words.groupBy("lang", "word").agg(F.sum("c").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
-    back = _looked_up(words.select("shard", "lang", "word", "number"), known.select("lang", "word", "id"), ["lang", "word"])
-    local = _sent_back(shards, back, "number", "id").mapInArrow(_pairs, "shard bigint, key bigint, first bigint, second bigint, c bigint")
-    all_shards = F.sum("c").over(Window.partitionBy("first", "second")).alias("a")
-    pairs = hold(local.select("shard", "key", "first", "second", all_shards).filter(F.col("a") >= least))
-    often = hold(pairs.groupBy("first", "second").agg(F.max("a").alias("a")))
-    triples = _sent_back(shards, pairs, "key", "first", "second").mapInArrow(_triples, "first bigint, second bigint, third bigint, c bigint")
+    known = _numbered(words.groupBy("lang", "word").agg(F.sum("c").alias("f")).filter(F.col("f") >= least))
+    small = is_small(known, lookup_rows, LOOKUP_BYTES)
+    of_pairs = "shard bigint, key bigint, first bigint, second bigint, c bigint"
+    if small:
+        sent = Known(known)
+        local = shards.mapInArrow(_pairs(context.broadcast(sent)), of_pairs)
+    else:
+        back = words.select("shard", "lang", "word", "number").join(known.select("lang", "word", "id"), ["lang", "word"])
+        local = hold(_sent_back(shards, back, "number", "id").mapInArrow(_pairs(), of_pairs))
+    often = hold(local.groupBy("first", "second").agg(F.sum("c").alias("a")).filter(F.col("a") >= least))
+    of_triples = "first bigint, second bigint, third bigint, c bigint"
+    if small and is_small(often, lookup_rows, LOOKUP_BYTES):
+        triples = shards.mapInArrow(_triples(context.broadcast(sent.with_pairs(often))), of_triples)
+    else:
+        back = local.select("shard", "key", "first", "second").join(often.select("first", "second"), ["first", "second"])
+        triples = _sent_back(shards, back, "key", "first", "second").mapInArrow(_triples(), of_triples)
     thrice = hold(triples.groupBy("first", "second", "third").agg(F.sum("c").alias("a")).filter(F.col("a") >= least))
     one = known.select(F.col("id").alias("first"), "lang", F.col("word").alias("w1"), F.col("f").alias("l"))
     two = known.select(F.col("id").alias("second"), F.col("word").alias("w2"), F.col("f").alias("r"))
@@ -239,7 +300,7 @@ def counted(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
     head = named.select("first", "second", "lang", F.col("words").alias("h"), F.col("l").alias("l1"), F.col("a").alias("l2"))
     tail = named.select(F.col("first").alias("second"), F.col("second").alias("third"), F.col("words").alias("t"), F.col("a").alias("r1"), F.col("r").alias("r2"))
     long = hold(thrice.join(head, ["first", "second"]).join(tail, ["second", "third"]).select("lang", F.concat("h", F.slice("t", 2, 1)).alias("words"), "a", "first", "second", "third", "l1", "r1", "l2", "r2"))
-    release(shards, known, pairs, often, thrice)
+    release(shards, known, often, thrice, *([] if small else [local]))
     return totals, named, long
 
 
@@ -249,13 +310,13 @@ def _score(a: str, left: str, right: str) -> Column:
     return F.expr(f"cast({wide(a)} * {wide(a)} * {MILLION} as decimal(38,0)) div ({wide(left)} * {wide(right)})").cast("bigint")
 
 
-def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: int = FREQUENT, keep: int = KEEP, inside: int = INSIDE, shard: int = SHARD) -> DataFrame:
+def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: int = FREQUENT, keep: int = KEEP, inside: int = INSIDE, shard: int = SHARD, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``keep`` best phrases of two or three words of each language.
 
     The score of a phrase is that of its lowest cut (ties: the first). A pair is left out if a triple around
     it occurs in at least ``inside`` percent of its places.
     """
-    totals, pairs, triples = counted(df, text, lang, least, shard)
+    totals, pairs, triples = counted(df, text, lang, least, shard, lookup_rows)
     around = triples.select("first", "second", "a").unionAll(triples.select("second", "third", "a"))
     most = around.groupBy("first", "second").agg(F.max("a").alias("most"))
     free = pairs.join(most, ["first", "second"], "left").filter(F.col("most").isNull() | (100 * F.col("most").cast("decimal(20,0)") < inside * F.col("a").cast("decimal(20,0)")))
