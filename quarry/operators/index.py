@@ -8,6 +8,7 @@ document frequencies are shuffled by term, after map-side counting.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.scale import first_per_key, hold, row_count, top_k
+from quarry.operators import lists as ls
+from quarry.scale import first_per_key, hold, hold_dir, row_count, top_k
 
 CHAMPION_R = 50
 
@@ -34,6 +36,7 @@ class Index:
     keys: DataFrame  # doc_id, zone of everything indexed, also of empty zones
     stemmer: str = "porter"
     champion_r: int = CHAMPION_R
+    lists: ls.Lists | None = None  # stored lists and champion cuts, for searches that end early
 
 
 def zone_rows(df: DataFrame, zones: Mapping[str, Column], doc_id: str = "doc_id", keep: tuple = ()) -> DataFrame:
@@ -88,14 +91,19 @@ def build(zones: DataFrame, stemmer: str = "porter", champion_r: int = CHAMPION_
     return _derive(postings_table(zones, stemmer), zones.select("doc_id", "zone"), stemmer, champion_r)
 
 
-def held(index: Index) -> Index:
+def held(index: Index, lists: bool = False) -> Index:
     """Write the index once into bucketed tables of the shared folder; later queries read the
     stored postings and keep the document layout. The dictionary is derived from the stored
-    postings, so the text is analyzed a single time."""
+    postings, so the text is analyzed a single time. With ``lists`` the postings are also stored as
+    whole lists with their champion cuts, which ranked searches then use."""
     postings = hold(index.postings, "doc_id", laid_out=True)
     doc_zone = hold(_derive(postings, index.keys, index.stemmer, index.champion_r).doc_zone, "doc_id")
     fresh = _statistics(postings, doc_zone, doc_zone.select("doc_id", "zone"), index.stemmer, index.champion_r)
-    return replace(fresh, dictionary=hold(fresh.dictionary), zone_stats=hold(fresh.zone_stats))
+    made = None
+    if lists:
+        spark = postings.sparkSession
+        made = ls.write(postings, doc_zone, f"{hold_dir(spark)}/quarry_lists_{uuid.uuid4().hex}", index.champion_r)
+    return replace(fresh, dictionary=hold(fresh.dictionary), zone_stats=hold(fresh.zone_stats), lists=made)
 
 
 def save(index: Index, path: str) -> None:
@@ -108,13 +116,14 @@ def save(index: Index, path: str) -> None:
     stored = _statistics(stored.postings, doc_zone, doc_zone.select("doc_id", "zone"), index.stemmer, index.champion_r)
     stored.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
     stored.zone_stats.write.mode("overwrite").parquet(f"{path}/zone_stats")
+    ls.write(stored.postings, doc_zone, f"{path}/lists", index.champion_r)
 
 
 def load(spark: SparkSession, path: str, stemmer: str = "porter", champion_r: int = CHAMPION_R) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     doc_zone = read("doc_zone")
     return Index(read("postings"), doc_zone, doc_zone.select("doc_id").distinct(), read("dictionary"),
-                 read("zone_stats"), doc_zone.select("doc_id", "zone"), stemmer, champion_r)
+                 read("zone_stats"), doc_zone.select("doc_id", "zone"), stemmer, champion_r, ls.read(spark, f"{path}/lists"))
 
 
 def refresh(index: Index, changed_zones: DataFrame, removed: DataFrame | None = None) -> Index:
@@ -137,7 +146,9 @@ def doc_postings(postings: DataFrame) -> DataFrame:
 
 
 def champions(index: Index) -> DataFrame:
-    """Top ``champion_r`` postings per (zone, term) by tf, then doc id."""
+    """Top ``champion_r`` postings per (zone, term) by tf, then doc id; from the stored cuts if there are any."""
+    if index.lists is not None and index.lists.r == index.champion_r:
+        return ls.champions(index.lists)
     return top_k(
         index.postings.select("zone", "term", "doc_id", "tf"), ["zone", "term"],
         [F.col("tf").desc(), F.col("doc_id")], index.champion_r, "champion_rank",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.operators import lists
 from quarry.operators.index import Index, champions, log_tf
 from quarry.scale import exact_sum, hold, is_small, lookup_join, small, top_k
 
@@ -111,6 +112,18 @@ def contributions(
     )
 
 
+def early(
+    index: Index, queries: DataFrame, k: int, scheme: str = "bm25", zone_weights: Mapping[str, float] | None = None,
+    use_champions: bool = False, idf_threshold: float = 0.0, k1: float = BM25_K1, b: float = BM25_B,
+) -> DataFrame:
+    """``query_id, doc_id, score, touched``: the best ``k`` documents of each query in each shard of the
+    stored lists, and how many postings of the shard were touched for the query."""
+    if scheme not in ("bm25", "tfidf"):
+        raise ValueError(f"unknown scheme {scheme!r}")
+    wanted = query_terms(index, query_term_counts(queries, index.stemmer), idf_threshold, True)
+    return lists.search(index.lists, wanted, k, scheme, zone_weights, index.zone_stats, k1, b, use_champions)
+
+
 def rank_scores(scores: DataFrame, k: int | None) -> DataFrame:
     """Positive scores only; ties by ascending document id."""
     return top_k(scores.filter(F.col("score") > 0), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
@@ -120,6 +133,8 @@ def search(index: Index, queries: DataFrame, k: int | None = 10, explain: bool =
     """``query_id, doc_id, score, rank`` (plus ``explanation`` sorted by weight) per query."""
     if k is not None and k <= 0:
         queries = queries.filter(F.lit(False))
+    elif k is not None and not explain and index.lists is not None and small_queries(queries):
+        return rank_scores(early(index, queries, k, **options).drop("touched"), k)
     rows = contributions(index, queries, **options)
     parts = [exact_sum("weight").alias("score")]
     if explain:

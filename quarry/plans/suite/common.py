@@ -63,7 +63,7 @@ def doc_index(spark: SparkSession, sf: str) -> ix.Index:
     """The document index, built and stored once per application and data folder."""
     key = (spark.sparkContext.applicationId, id(spark), sf, "docs")
     if key not in _INDEXES:
-        _INDEXES[key] = ix.held(ix.build(doc_zones(spark, sf)))
+        _INDEXES[key] = ix.held(ix.build(doc_zones(spark, sf)), lists=True)
     return _INDEXES[key]
 
 
