@@ -55,24 +55,20 @@ class Hashes(dict):
 
     def __init__(self):
         super().__init__()
-        self.found: list[tuple[int, int]] = []
+        self.one, self.two = (np.zeros(1 << 16, np.uint64) for _ in range(2))
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.found)
-        self.found.append((xxhash.xxh64_intdigest(word, 1), xxhash.xxh64_intdigest(word, 2)))
+        self[word] = number = len(self)
+        if number == len(self.one):
+            self.one, self.two = (np.concatenate([x, np.zeros_like(x)]) for x in (self.one, self.two))
+        self.one[number], self.two[number] = xxhash.xxh64_intdigest(word, 1), xxhash.xxh64_intdigest(word, 2)
         return number
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > CACHED:
             self.clear()
-            self.found.clear()
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(words) * 8 < len(self.found):  # a short text does not copy all hashes
-            used, numbers = np.unique(numbers, return_inverse=True)
-            pairs = np.array([self.found[i] for i in used], np.uint64).reshape(-1, 2)
-        else:
-            pairs = np.array(self.found, np.uint64).reshape(-1, 2)
-        return pairs[numbers, 0], pairs[numbers, 1]
+        return self.one[numbers], self.two[numbers]
 
 
 def anchors(one: np.ndarray, two: np.ndarray, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
