@@ -30,14 +30,14 @@ def in_scope(vectors: DataFrame, scope: DataFrame, key: str) -> DataFrame:
     return vectors.join(small(scope.select(key).distinct()), key, "left_semi")
 
 
-def _unit(rows) -> np.ndarray:
+def unit(rows) -> np.ndarray:
     m = np.array(rows.tolist(), dtype=np.float64)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     norms[norms == 0.0] = 1.0
     return m / norms
 
 
-def _nearest(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+def nearest(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
     """Best ``k`` of one block for each query, ties by id at rank precision."""
     dist = np.round(1.0 - q @ v.T, SCORE_DIGITS + 2)
     key = np.round(dist, SCORE_DIGITS)
@@ -73,7 +73,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, max_query_rows: int = QU
         table = q.toPandas()
         if table.empty:
             return v.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-        shared = v.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), _unit(table["embedding"])))
+        shared = v.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), unit(table["embedding"])))
 
         def scan(batches):
             q_ids, mat = shared.value
@@ -81,7 +81,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, max_query_rows: int = QU
             for pdf in batches:
                 if pdf.empty:
                     continue
-                found = _nearest(q_ids, mat, pdf["owner_id"].to_numpy(), _unit(pdf["embedding"]), k)
+                found = nearest(q_ids, mat, pdf["owner_id"].to_numpy(), unit(pdf["embedding"]), k)
                 if best is not None:
                     found = pd.concat([best, found])
                     found["_k"] = found["distance"].round(SCORE_DIGITS)
@@ -104,7 +104,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, max_query_rows: int = QU
         def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
                 return pd.DataFrame(columns=["query_id", "owner_id", "distance"])
-            return _nearest(a["q_id"].to_numpy(), _unit(a["q_vector"]), b["v_id"].to_numpy(), _unit(b["v_vector"]), k)
+            return nearest(a["q_id"].to_numpy(), unit(a["q_vector"]), b["v_id"].to_numpy(), unit(b["v_vector"]), k)
 
         rows = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(cell, schema)
     return top_k(rows, ["query_id"], [F.round("distance", SCORE_DIGITS), F.col("owner_id")], k)
