@@ -150,6 +150,6 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", source
     sized = hold(df.select(id_col, F.xxhash64(text).alias("sig"), F.array(source).alias("members"), words(text).alias("size")))
     taken = mix(sized, "members", "size", order=(id_col, "sig"))
     often = taken.groupBy(F.col(id_col).alias("_id"), F.col("sig").alias("_sig")).agg(F.sum("repeats").cast("int").alias("_often")).filter("_often > 0")
-    rows = df.withColumn("_k", F.xxhash64(text))
-    kept = rows.join(often, rows[id_col].eqNullSafe(often["_id"]) & (rows["_k"] == often["_sig"])).dropDuplicates([id_col, "_k"])
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_often")))).select(*df.columns)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("i"), F.xxhash64(text).alias("h"))
+    kept = rows.join(often, rows["i"].eqNullSafe(often["_id"]) & (rows["h"] == often["_sig"])).dropDuplicates(["i", "h"])
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("_often")))).select(*[F.col("row")[c].alias(c) for c in df.columns])

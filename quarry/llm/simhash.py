@@ -155,6 +155,6 @@ def first_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", fin
     name = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("_id"), F.col("sig").alias("_sig"))
     chosen = found.groupBy(name.alias("name")).agg(F.min(key).alias("k")).select("k._id", "k._sig").distinct()
-    rows = df.withColumn("_k", F.xxhash64(text))
-    kept = rows.join(chosen, rows[id_col].eqNullSafe(chosen["_id"]) & (rows["_k"] == chosen["_sig"])).drop("_id", "_sig")
-    return kept.dropDuplicates([id_col, "_k"]).select(*df.columns)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("i"), F.xxhash64(text).alias("h"))
+    kept = rows.join(chosen, rows["i"].eqNullSafe(chosen["_id"]) & (rows["h"] == chosen["_sig"])).dropDuplicates(["i", "h"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])
