@@ -5,11 +5,14 @@ depends only on the last token of a shorter prefix: the pair of neighbours must
 merges leave alone. So one back pointer per prefix is enough, and every continuation of a word
 passes through one of the last ``lookahead`` prefixes, where ``lookahead`` is the longest token
 the merge list can build. Tokens before the point in which the back pointers of that window
-meet can no longer change: they are emitted and forgotten, so memory does not grow with the
-word or the text. Decoding runs bytes through an incremental UTF-8 state machine.
+meet can no longer change: they are emitted and forgotten, so states do not grow with the word. A word
+within the lookahead becomes stable at its end as a whole; its back pointers are followed from there. Ids are
+decoded one by one as the tokenizer's file says; ``token_ids`` restores text by an incremental UTF-8 state machine.
+A text is read in parts cut at white space; the tokens of one part (one word without white space at most) are held.
 
 Results for special cases: null or empty text gives no tokens; strings of special tokens become
-these tokens; repeated rows give repeated rows; other columns are ignored.
+these tokens; bytes that are no UTF-8 become replacement characters; repeated rows give repeated rows; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ LATIN_LETTER, LATIN_NUMBER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0
 LATIN_WORDS = rf"[{LATIN_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{LATIN_NUMBER}]|[^\t-\r\x20\x85\xa0{LATIN_LETTER}{LATIN_NUMBER}]+"
 PIECE = 1 << 16  # code points of a text handled at a time
 CACHED_WORDS = 100_000  # words kept with their encoding; later ones run through the transducer
+CACHED_PAIRS = 100_000  # pairs of tokens whose neighbourhood is remembered
 CACHED_STATES = 150_000  # states kept; beyond that the transducer is derived anew
 LONG_WORD = 64  # bytes; longer words are encoded each time they occur
 
@@ -94,6 +98,7 @@ class Transducer:
         self.states: dict[tuple[str | None, str], State] = {}
         self.start = self.state([""], "")
         self.known: dict[str, tuple[str, str]] = {}
+        self.beside: dict[tuple[str, str], bool] = {}
 
     @staticmethod
     def symbols(token: str) -> list[str]:
@@ -132,6 +137,15 @@ class Transducer:
                     return False
         return True
 
+    def fits(self, before: str, token: str) -> bool:
+        """``allowed``, remembered."""
+        found = self.beside.get((before, token))
+        if found is None:
+            if len(self.beside) >= CACHED_PAIRS:
+                self.beside.clear()
+            found = self.beside[before, token] = self.allowed(before, token)
+        return found
+
     def last_token(self, text: str, last: list[str | None], end: bool) -> str | None:
         """The last token of the prefix ``text``; ``last[-n]`` is the last token of the prefix
         that is n symbols shorter. None: it begins before the stable point, so no token that
@@ -139,7 +153,7 @@ class Transducer:
         mark = END if end else ""
         for n in range(min(len(text), self.lookahead), 0, -1):
             token = text[-n:] + mark
-            if token in self.vocab and last[-n] is not None and self.allowed(last[-n], token):
+            if token in self.vocab and last[-n] is not None and self.fits(last[-n], token):
                 return sys.intern(token)  # states share their tokens
         return None
 
@@ -190,19 +204,57 @@ class Transducer:
         state.step[key] = out, nxt
         return out, nxt
 
+    def within(self, text: str) -> list[str]:
+        """Tokens of a word that lies within the lookahead as a whole, so all of it becomes stable at its end: back
+        pointers are followed from there, and only those of prefixes in question."""
+        n, last = len(text), {0: ""}
+
+        def ending(at: int) -> str | None:
+            if at in last:
+                return last[at]
+            found = None
+            mark = END if at == n else ""
+            for begin in range(max(0, at - self.lookahead), at):
+                token = text[begin:at] + mark
+                if token in self.vocab and (before := ending(begin)) is not None and self.fits(before, token):
+                    found = token
+                    break
+            last[at] = found
+            return found
+
+        out, at = [], n
+        while at:
+            out.append(ending(at))
+            at -= len(out[-1]) - (len(END) if at == n else 0)
+        return out[::-1]
+
     def word(self, word: str) -> tuple[str, str]:
-        """Ids and tokens of a word, each joined by spaces, collected as they become stable."""
-        raw, state, out = word.encode(), self.start, []
+        """Ids and decoded text of a word, collected as its tokens become stable."""
+        raw = word.encode()
+        if len(raw) <= min(self.lookahead, LONG_WORD):
+            tokens = self.within("".join([self.alphabet[b] for b in raw]))
+            ids = " ".join([str(self.vocab[t]) for t in tokens])
+        else:
+            ids = self.streamed(raw)
+        found = ids, self.decoded(ids)
+        if len(raw) <= LONG_WORD and len(self.known) < CACHED_WORDS:
+            self.known[word] = found
+        return found
+
+    def decoded(self, ids: str) -> str:
+        """The text of a run of ids as the tokenizer's file decodes them: it names no decoder, so tokens stand as
+        they are, a space between two. One id at a time, nothing is kept."""
+        return " ".join([self.token[int(i)] for i in ids.split(" ")])
+
+    def streamed(self, raw: bytes) -> str:
+        state, out = self.start, []
         for key in raw[:-1]:
             stable, state = state.step.get(key) or self.derive(state, key)
             if stable:
                 out.append(stable)
         key = raw[-1] + 256
         out.append((state.step.get(key) or self.derive(state, key))[0])
-        found = " ".join([s[0] for s in out]), " ".join([s[1] for s in out])
-        if len(raw) <= LONG_WORD and len(self.known) < CACHED_WORDS:
-            self.known[word] = found
-        return found
+        return " ".join([ids for ids, _ in out])
 
     def text(self, tokens: Iterable[str]) -> str:
         """Incremental decoding: bytes go through a UTF-8 state machine, an end mark is a space."""
@@ -257,7 +309,7 @@ def digests(spec: dict):
 
     def of(raw: bytes) -> tuple[int, str, str]:
         n, ids_sum, tokens_sum, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
-        for part in coder.encode(raw.decode()):
+        for part in coder.encode(raw.decode("utf-8", "replace")):
             ids = gap + " ".join([p[0] for p in part])
             n += ids.count(" ") + (not gap)
             ids_sum.update(ids.encode())
@@ -285,7 +337,7 @@ def token_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         coder = Transducer(spec.value)
 
         def of(raw: bytes) -> tuple[str, str]:
-            words = [w for part in coder.encode(raw.decode()) for w in part]
+            words = [w for part in coder.encode(raw.decode("utf-8", "replace")) for w in part]
             return " ".join([w[0] for w in words]), coder.text(t for w in words for t in w[1].split(" "))
 
         of.close = coder.forget
