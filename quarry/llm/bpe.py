@@ -38,7 +38,7 @@ WORDS = rf"\p{{L}}+|'(?:[stmd]|re|ve|ll)|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 LATIN_LETTER, LATIN_NUMBER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN_WORDS = rf"[{LATIN_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{LATIN_NUMBER}]|[^\t-\r\x20\x85\xa0{LATIN_LETTER}{LATIN_NUMBER}]+"
 PIECE = 1 << 16  # code points of a text handled at a time
-CACHED_WORDS = 100_000  # words kept with their encoding; later ones run through the transducer
+CACHED_WORDS = 300_000  # words kept with their encoding; later ones run through the transducer
 CACHED_PAIRS = 100_000  # pairs of tokens whose neighbourhood is remembered
 CACHED_STATES = 150_000  # states kept; beyond that the transducer is derived anew
 LONG_WORD = 64  # bytes; longer words are encoded each time they occur
