@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.scale import first_per_key, salted_join
+from quarry.scale import first_per_key
 
 
 def history(messages: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def answered_questions(messages: DataFrame) -> DataFrame:
     asked = messages.filter("role = 'user'").groupBy("conversation_id").agg(
         F.min_by("content", F.struct("created_at", "message_id")).alias("question"))
     answers = messages.filter("role = 'assistant'").select("conversation_id", "message_id", F.col("content").alias("answer"))
-    return salted_join(answers, asked, ["conversation_id"], ["message_id"], "left", salts=8)
+    return answers.join(asked, "conversation_id", "left")
 
 
 def feedback(stored: DataFrame | None, arriving: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +27,7 @@ def feedback(stored: DataFrame | None, arriving: DataFrame, messages: DataFrame)
     ``arriving``: message_id, user_id, rating, ts, feedback_id.
     """
     roles = messages.select("message_id", "role")
-    joined = salted_join(arriving, roles, ["message_id"], ["feedback_id"], "left", salts=8)
+    joined = arriving.join(roles, "message_id", "left")
     reason = F.when(F.col("role").isNull(), "message not found").when(F.col("role") != "assistant", "only answers can be rated")
     checked = joined.withColumn("reason", reason)
     good = checked.filter("reason is null").select(arriving.columns)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.scale import salted_join
 
 # Accepted types and user-facing messages.
 PDF_TYPES = ["application/pdf", "application/x-pdf"]
@@ -47,15 +46,15 @@ def dedupe(uploads: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
     ``uploads``: org_id, upload_id, content. The first upload (lowest id) of a checksum within
     an organisation creates the document; stored documents (``org_id, checksum, document_id``)
-    win over new ones. Copies are counted map-side, and the mapping join is salted, so a
-    content that fills a third of the table is spread over many tasks.
+    win over new ones. Copies are counted map-side; a content that fills a third of the table makes
+    a skewed partition of the mapping join, which adaptive execution splits.
     """
     hashed = uploads.select("org_id", "upload_id", F.sha2("content", 256).alias("checksum"))
     first = hashed.groupBy("org_id", "checksum").agg(F.min("upload_id").alias("first_id"))
     owners = first.withColumn("stored_id", F.lit(None).cast(first.schema["first_id"].dataType))
     if existing is not None:
         owners = first.join(existing.select("org_id", "checksum", F.col("document_id").alias("stored_id")), ["org_id", "checksum"], "left")
-    out = salted_join(hashed, owners, ["org_id", "checksum"], ["upload_id"], salts=8)
+    out = hashed.join(owners, ["org_id", "checksum"])
     return out.select(
         "org_id", "upload_id", "checksum", F.coalesce("stored_id", "first_id").alias("document_id"),
         (F.col("stored_id").isNull() & (F.col("upload_id") == F.col("first_id"))).alias("created"),

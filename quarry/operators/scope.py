@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.scale import hold, lookup_join, salted_join
+from quarry.scale import hold, lookup_join
 
 MAX_DOUBLINGS = 40
 
@@ -17,21 +17,22 @@ def closure(folders: DataFrame) -> DataFrame:
     """``folder_id, ancestor_id, distance`` of every folder, itself included.
 
     Distances double each round, so a tree of depth d needs log2(d) joins; each round is held
-    in the shared folder. A parent with very many children is spread by salting.
+    in the shared folder. One look at a round tells both whether it reached further and whether it met a cycle.
     """
     known = folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).alias("distance"))
-    jump = hold(folders.filter("parent_id is not null").select("folder_id", F.col("parent_id").alias("via")))
+    jump = folders.filter("parent_id is not null").select("folder_id", F.col("parent_id").alias("via"))
     span = 1
     for _ in range(MAX_DOUBLINGS):
-        if jump.isEmpty():
-            return known
         above = known.select(F.col("folder_id").alias("via"), "ancestor_id", "distance")
-        further = salted_join(jump, above, ["via"], ["folder_id"], salts=8)
-        known = hold(known.unionByName(further.select("folder_id", "ancestor_id", (F.col("distance") + span).alias("distance"))))
-        if not known.filter("folder_id = ancestor_id and distance > 0").isEmpty():
-            break  # a folder above itself: on a cycle the rows would double every round
+        further = jump.join(above, "via").select("folder_id", "ancestor_id", (F.col("distance") + span).alias("distance"))
+        known = hold(known.unionByName(further))
+        seen = known.agg(F.max("distance").alias("far"), F.bool_or((F.col("folder_id") == F.col("ancestor_id")) & (F.col("distance") > 0)).alias("cycle")).first()
+        if seen["cycle"]:
+            break  # a folder above itself: the rows would double every round
+        if seen["far"] is None or seen["far"] < span:
+            return known
         next_hop = jump.select(F.col("folder_id").alias("via"), F.col("via").alias("far"))
-        jump = hold(salted_join(jump, next_hop, ["via"], ["folder_id"], salts=8).select("folder_id", F.col("far").alias("via")))
+        jump = hold(jump.join(next_hop, "via").select("folder_id", F.col("far").alias("via")))
         span *= 2
     raise ValueError("the folder table contains a cycle")
 
@@ -45,7 +46,7 @@ def subtree(tree: DataFrame, roots: DataFrame) -> DataFrame:
 def paths(folders: DataFrame, tree: DataFrame) -> DataFrame:
     """``folder_id, path`` from current parents and names, never from an older path."""
     names = folders.select(F.col("folder_id").alias("ancestor_id"), "name")
-    chain = salted_join(tree, names, ["ancestor_id"], ["folder_id"], salts=8)
+    chain = tree.join(names, "ancestor_id")
     steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name")))
     return chain.groupBy("folder_id").agg(F.array_join(F.transform(steps, lambda s: s["name"]), "/").alias("path"))
 
@@ -120,7 +121,7 @@ def granted_tags(user_roles: DataFrame, role_tags: DataFrame) -> DataFrame:
 def effective_folder_tags(tree: DataFrame, folder_tags: DataFrame) -> DataFrame:
     """Own tags and those of every ancestor."""
     tags = folder_tags.withColumnRenamed("folder_id", "ancestor_id")
-    return salted_join(tree, tags, ["ancestor_id"], ["folder_id"], salts=8).select("folder_id", "tag_id").distinct()
+    return tree.join(tags, "ancestor_id").select("folder_id", "tag_id").distinct()
 
 
 def document_gates(docs: DataFrame, folder_effective: DataFrame, doc_tags: DataFrame, controlling: DataFrame) -> DataFrame:
@@ -137,10 +138,10 @@ def can_access(requests: DataFrame, users: DataFrame, gates: DataFrame, granted:
     once per user.
     """
     asked = requests.select("user_id", key).distinct()
-    paired = salted_join(asked, gates, [key], ["user_id"], salts=8)
+    paired = asked.join(gates, key)
     opened = paired.join(granted, ["user_id", "tag_id"], "left_semi").select("user_id", key).distinct().withColumn("_ok", F.lit(True))
     gated = gates.select(key).distinct().withColumn("_gated", F.lit(True))
-    rows = salted_join(asked, gated, [key], ["user_id"], "left", salts=8).join(opened, ["user_id", key], "left")
+    rows = asked.join(gated, key, "left").join(opened, ["user_id", key], "left")
     rows = rows.join(users.select("user_id", "is_admin"), "user_id", "left")
     allowed = F.coalesce("is_admin", F.lit(False)) | F.col("_gated").isNull() | F.col("_ok").isNotNull()
     return rows.select("user_id", key, allowed.alias("allowed"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from quarry.operators import conversations as cv
+from quarry.operators import folder_edits as fe
 from quarry.operators import judged as jd
 from quarry.operators import scope as ac
 from quarry.operators import synthesis as sy
@@ -238,6 +239,19 @@ def ac12_rejected(spark, sf):
     return _deleted(spark, sf)[2].select("folder_id")
 
 
+@query("ac12_settled_batch", """WITH named AS (SELECT n_nationkey, n_regionkey % 3 AS m, row_number() OVER (PARTITION BY n_regionkey % 3 = 0, left(n_name, 2) ORDER BY n_nationkey) AS k FROM nation)
+SELECT r_regionkey AS seq, 'r' || r_regionkey AS folder_id, CASE r_regionkey % 3 WHEN 2 THEN 'folder is not empty' END AS reason FROM region
+UNION ALL SELECT 100 + n_nationkey, 'n' || n_nationkey, CASE WHEN m = 0 THEN 'Folder not found' WHEN k > 1 THEN 'A folder with that name already exists here' END FROM named""")
+def ac12_settled(spark, sf):
+    """Regions go (cascade, reflow, or refused as not empty), then every nation moves to the root under its first two letters."""
+    region, nation = table(spark, sf, "region"), table(spark, sf, "nation")
+    none = F.lit(None).cast("string")
+    op = F.element_at(F.array(F.lit("cascade"), F.lit("reflow"), F.lit("block")), (F.col("r_regionkey") % 3 + 1).cast("int"))
+    edits = region.select(F.col("r_regionkey").alias("seq"), _key("r", "r_regionkey").alias("folder_id"), op.alias("op"), none.alias("new_parent_id"), none.alias("new_name")).unionAll(
+        nation.select(F.col("n_nationkey") + 100, _key("n", "n_nationkey"), F.lit("move"), F.lit("root"), F.left("n_name", F.lit(2))))
+    return fe.settle(folders(spark, sf), documents(spark, sf), edits)[2]
+
+
 @query("ac13_uploader_email", "SELECT o_orderkey AS doc_id, lower(s_name) AS uploader_email FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey")
 def ac13(spark, sf):
     d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("uploaded_by"))
