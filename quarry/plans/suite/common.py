@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import porter
 from quarry.functions.text import STOP_WORDS
 from quarry.operators import index as ix
+from quarry.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +35,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +30,17 @@ def local_session(cores: int | str | None = None, app: str = "quarry") -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for applications that start outside its folder. Once for each application."""
+    context = spark.sparkContext
+    name = f"quarry-{context.applicationId}.zip"
+    if any(f.endswith(name) for f in context.listFiles):
+        return
+    top = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="quarry-"), name)  # the driver serves it to the executors until it ends
+    with zipfile.ZipFile(path, "w") as packed:
+        for file in sorted(top.rglob("*.py")):
+            packed.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(path))
