@@ -74,10 +74,9 @@ def cc4(spark, sf):
     return s.groupBy("answer_id").agg(F.count(F.when(cc.is_checkable("sentence"), 1)).alias("checkable"))
 
 
-@query("cc5_lead_in", """SELECT conv_id, turn, conv_id % 2 = 0 OR turn % 2 = 0 AS lead_in FROM conversations""")
+@query("cc5_lead_in", r"""SELECT conv_id, turn, conv_id % 2 = 0 OR turn % 2 = 0 OR regexp_matches(text, '^\s*#') OR regexp_matches(text, ':[\s*_]*$') AS lead_in FROM conversations""")
 def cc5(spark, sf):
-    line = F.substring_index("text", "\n", 1)
-    s = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("## "), line)).when(F.col("turn") % 2 == 0, F.concat(line, F.lit(":** [3] "))).otherwise(line)
+    s = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("## "), "text")).when(F.col("turn") % 2 == 0, F.concat("text", F.lit(":** [3] "))).otherwise(F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", cc.is_lead_in(s).alias("lead_in"))
 
 
@@ -200,9 +199,9 @@ def cc14(spark, sf):
 
 
 @query("cc15_prompts", "WITH " + ANSWERS + """ SELECT a.answer_id AS query_id, md5(coalesce(c.ctx, '(no context was retrieved for this notebook)') || chr(10) || chr(10) || 'Question: ' || a.answer) AS digest
-FROM ans a LEFT JOIN (SELECT answer_id, string_agg('[' || "index" || '] ' || content, chr(10) || chr(10) ORDER BY "index") AS ctx FROM blk WHERE chunk_id % 2 = 0 GROUP BY 1) c USING (answer_id)""")
+FROM ans a LEFT JOIN (SELECT answer_id, string_agg('[' || "index" || '] ' || content, chr(10) || chr(10) ORDER BY "index") AS ctx FROM blk GROUP BY 1) c USING (answer_id)""")
 def cc15(spark, sf):
-    b = blocks(spark, sf).filter("chunk_id % 2 = 0").withColumnRenamed("answer_id", "query_id")
+    b = blocks(spark, sf).withColumnRenamed("answer_id", "query_id")
     q = answers(spark, sf).select(F.col("answer_id").alias("query_id"), F.col("answer").alias("query"))
     return cc.prompts(q, b).select("query_id", F.md5("prompt").alias("digest"))
 

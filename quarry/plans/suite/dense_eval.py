@@ -213,14 +213,13 @@ def fu3(spark, sf):
 @query("fu4_coarse_to_fine", f"""WITH {VEC}, {SEC}, c AS (SELECT q.vec_id AS query_id, v.section_id, row_number() OVER (PARTITION BY q.vec_id
 ORDER BY round({DIST}, 10), v.section_id) AS r FROM embeddings q, secs v QUALIFY r <= 8),
 fine AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {DIST} AS d, 'hierarchical' AS strategy FROM c JOIN embeddings q ON q.vec_id = c.query_id
-  JOIN v ON v.section_id = c.section_id WHERE v.label = 0),
-flat AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {DIST} AS d, 'flat' AS strategy FROM embeddings q, v WHERE v.label = 0
-  AND q.vec_id NOT IN (SELECT query_id FROM fine))
+  JOIN v ON v.section_id = c.section_id),
+flat AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {DIST} AS d, 'flat' AS strategy FROM embeddings q, v
+  WHERE q.vec_id NOT IN (SELECT query_id FROM fine))
 SELECT query_id, chunk_id, round(d, 6) + 0.0 AS distance, strategy, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d, 10), chunk_id) AS INTEGER) AS rank
 FROM (SELECT * FROM fine UNION ALL SELECT * FROM flat) QUALIFY rank <= 5""")
 def fu4(spark, sf):
-    chunks = vectors(spark, sf).filter("label = 0")
-    out = fu.coarse_to_fine(vector_queries(spark, sf), section_vectors(spark, sf), chunks, 5)
+    out = fu.coarse_to_fine(vector_queries(spark, sf), section_vectors(spark, sf), vectors(spark, sf), 5)
     return out.select("query_id", "chunk_id", distance(), "strategy", "rank")
 
 

@@ -155,9 +155,9 @@ def ac6(spark, sf):
 
 
 @query("ac7_notebook_scope", GATES + """ SELECT n.notebook_id, n.user_id, n.doc_id FROM (SELECT DISTINCT l_partkey % 20 AS notebook_id, l_suppkey AS user_id, o_custkey AS doc_id
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R') n JOIN dec USING (user_id, doc_id) WHERE allowed""")
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey) n JOIN dec USING (user_id, doc_id) WHERE allowed""")
 def ac7(spark, sf):
-    lines, orders = table(spark, sf, "lineitem").filter("l_returnflag = 'R'"), table(spark, sf, "orders")
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     books = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
         (F.col("l_partkey") % 20).alias("notebook_id"), F.col("l_suppkey").alias("user_id"), F.col("o_custkey").alias("doc_id")).distinct()
     decisions = ac.can_access(books, users(spark, sf), gates(spark, sf), granted(spark, sf))
@@ -416,7 +416,7 @@ def mr6(spark, sf):
 
 
 OVERVIEW = """ov AS (SELECT o_custkey AS notebook_id, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS content, max(o_orderdate) AS generated_at FROM orders GROUP BY 1),
-chg AS (SELECT o_custkey AS notebook_id, max(l_shipdate) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY 1)"""
+chg AS (SELECT o_custkey AS notebook_id, max(l_shipdate) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)"""
 
 
 @query("mr7_overviews", "WITH " + OVERVIEW + " SELECT o.notebook_id, o.content, coalesce(c.t > o.generated_at, false) AS stale FROM ov o LEFT JOIN chg c USING (notebook_id)")
@@ -425,7 +425,7 @@ def mr7(spark, sf):
     rows = o.select(F.col("o_custkey").alias("notebook_id"), F.col("o_orderkey").alias("content"), F.struct("o_orderdate", "o_orderkey").alias("generated_at"), F.lit(True).alias("stale"))
     stored, fresh = rows.filter("content % 2 = 0"), rows.filter("content % 2 = 1")
     latest = sy.upsert_overviews(stored.withColumn("stale", F.lit(False)), fresh).withColumn("generated_at", F.col("generated_at.o_orderdate"))
-    lines = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
+    lines = table(spark, sf, "lineitem")
     changes = lines.join(o, lines["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("notebook_id"), F.col("l_shipdate").alias("changed_at"))
     return sy.mark_stale(latest, changes).select("notebook_id", "content", "stale")
 
@@ -491,15 +491,15 @@ def ev21(spark, sf):
     return a.select("conv_id", "turn", jd.has_evidence("text", words).alias("evidence"))
 
 
-PROV = TREE + """, cit AS (SELECT b.item_id AS query_id, s.heading, s.path FROM benchmark b JOIN sections s ON s.doc_id = b.item_id WHERE b.item_id % 4 <> 3 AND s.depth = 1),
+PROV = TREE + """, cit AS (SELECT b.item_id AS query_id, s.heading, s.path FROM benchmark b JOIN sections s ON s.doc_id = b.item_id),
 qh AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'E' ELSE 'page' END AS hint FROM benchmark),
 pv AS (SELECT q.query_id, coalesce((SELECT bool_and(contains(lower(c.heading || ' ' || c.path), lower(q.hint))) FROM cit c WHERE c.query_id = q.query_id), false) AS provenance FROM qh q)"""
 
 
 def provenance_flags(spark, sf):
-    sections = parts(spark, sf)[1].filter("depth = 1")
+    sections = parts(spark, sf)[1]
     b = table(spark, sf, "benchmark").withColumn("query_id", F.col("item_id"))
-    cit = sections.join(b.filter("item_id % 4 <> 3").select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", "heading", "path")
+    cit = sections.join(b.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", "heading", "path")
     q = b.select("query_id", F.when(F.col("item_id") % 2 == 0, "E").otherwise("page").alias("hint"))
     return jd.provenance(q, cit)
 
