@@ -230,7 +230,7 @@ def ev11(spark, sf):
     return p.select("split", "kind", "claim_id", F.col("doc_id").cast("bigint").alias("doc_id"), F.array_join(F.col("gold").cast("array<string>"), ",").alias("gold"))
 
 
-HARD = """hard AS (SELECT query_id AS claim_id, min_by(doc_id, rank) AS doc_id FROM ranked WHERE rank <= 50 AND doc_id NOT IN (query_id, query_id + 1, query_id + 2) GROUP BY 1)"""
+HARD = """hard AS (SELECT query_id AS claim_id, min_by(doc_id, rank) AS doc_id FROM ranked WHERE doc_id NOT IN (query_id, query_id + 1, query_id + 2) GROUP BY 1)"""
 
 
 @query("ev12_hard_negatives", index_sql() + scores_sql() + ", " + HARD + " SELECT claim_id, doc_id FROM hard")
