@@ -18,7 +18,7 @@ occur again are followed up. A piece is an anchor with all windows through it.
 3. The spans of each document are joined, and its bytes outside them kept.
 
 Earlier means a smaller id (null first), in one document a smaller start. Texts that share an id are
-compared in hash order at equal starts; identical rows count once and each gets the same result. Null and short texts
+told apart by their XXH64 and compared in its order at equal starts; identical rows count once and each gets the same result. Null and short texts
 keep all. Hashes have 64 bits for the anchor and 64 for the piece. The places of one anchor pass through
 one task in step 1, as a sorted stream that is never held; the spans of one document meet in one task.
 """
@@ -45,7 +45,8 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 NO_ID = -(1 << 63)
 TOGETHER = 20_000  # pieces of a group sorted at a time; larger groups are split
 
-PIECE = "k bigint, lo int, hi int, id bigint, ps bigint, left int, piece binary"  # key, first and last window, place, bytes left of the anchor
+PIECE = "k bigint, lo int, hi int, id bigint, p bigint, sig bigint, left int, piece binary"  # key, first and last window, place, bytes left of the anchor
+PLACE = ("id", "p", "sig")  # id, byte in the text, XXH64 of the text: texts that share an id differ in it
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -99,7 +100,7 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """whole, h, c, id, ps of each anchor. Pieces that an earlier piece of the same task equals
+    """whole, h, c, id, p, sig of each anchor. Pieces that an earlier piece of the same task equals
     are already known to be repeated; they are dealt by id, so that a frequent anchor leaves a task
     once."""
     for batch in batches:
@@ -108,7 +109,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = 0
         for i, text in enumerate(batch.column(2)):
             at, h, c = anchors(text.as_py() or b"")
-            out.append((h.view(np.int64), c.view(np.int64), np.full(len(at), ids[i]), (at << 24) | sigs[i]))
+            out.append((h.view(np.int64), c.view(np.int64), np.full(len(at), ids[i]), at, np.full(len(at), sigs[i])))
             held += len(at)
             if held > 500_000:
                 yield _combined(out)
@@ -118,16 +119,22 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    h, c, ids, ps = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((ps, ids, c, h))
-    h, c, ids, ps = h[order], c[order], ids[order], ps[order]
+    h, c, *place = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((*place[::-1], c, h))
+    h, c, *place = (x[order] for x in (h, c, *place))
     new = np.ones(len(h), bool)  # a repeated row is no earlier place
-    new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (ps[1:] != ps[:-1])
-    h, c, ids, ps = h[new], c[new], ids[new], ps[new]
+    new[1:] = (h[1:] != h[:-1]) | ~_equal(place)
+    h, c, *place = (x[new] for x in (h, c, *place))
     whole = np.zeros(len(h), bool)
     whole[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-    h[whole] = mixed(ids[whole].view(np.uint64) ^ ps[whole].view(np.uint64), 3).view(np.int64)
-    return _batch([(whole, h, c, ids, ps)], ("whole", "h", "c", "id", "ps"))
+    dealt = place[0] ^ (place[1] << 24) ^ place[2]
+    h[whole] = mixed(dealt[whole].view(np.uint64), 3).view(np.int64)
+    return _batch([(whole, h, c, *place)], ("whole", "h", "c", *PLACE))
+
+
+def _equal(place: list[np.ndarray]) -> np.ndarray:
+    """Whether each place but the first is the one before it."""
+    return np.logical_and.reduce([x[1:] == x[:-1] for x in place])
 
 
 def _batch(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> pa.RecordBatch:
@@ -138,13 +145,15 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, piece and place: pieces equal to an earlier one (whole), and
     the first of each kind if its anchor has several kinds. One row waits for its successor.
     Rows known to be whole pass."""
-    wait: tuple[int, int, int, int, bool] | None = None  # h, c, id, ps, other kinds before
+    names = (*PLACE, "h", "whole")
+    wait: tuple[int, int, tuple[int, ...], bool] | None = None  # h, c, place, other kinds before
+    one = lambda: tuple(np.array([v]) for v in (*wait[2], wait[0], False))
     for batch in batches:
         known = batch.column(0).to_numpy(zero_copy_only=False)
-        h, c, ids, ps = [batch.column(k).to_numpy() for k in range(1, 5)]
+        h, c, *place = [batch.column(k).to_numpy() for k in range(1, 6)]
         if known.any():
-            yield _batch([(ids[known], ps[known], h[known], known[known])], ("id", "ps", "h", "whole"))
-            h, c, ids, ps = h[~known], c[~known], ids[~known], ps[~known]
+            yield _batch([(*[x[known] for x in place], h[known], known[known])], names)
+            h, c, *place = (x[~known] for x in (h, c, *place))
         if not len(h):
             continue
         ph, pc = (wait[0], wait[1]) if wait else (None, None)
@@ -154,51 +163,51 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_h[0] = ph is None or h[0] != ph
         new_c[0] = new_h[0] or c[0] != pc
         same = np.zeros(len(h), bool)
-        same[1:] = (ids[1:] == ids[:-1]) & (ps[1:] == ps[:-1])
-        same[0] = wait is not None and (ids[0], ps[0]) == wait[2:4]
+        same[1:] = _equal(place)
+        same[0] = wait is not None and tuple(x[0] for x in place) == wait[2]
         repeat = ~new_c & ~same
         first = np.flatnonzero(new_c)
         several = ~new_h[first]
-        rows = [(ids[repeat], ps[repeat], h[repeat], np.ones(int(repeat.sum()), bool))]
+        rows = [(*[x[repeat] for x in place], h[repeat], np.ones(int(repeat.sum()), bool))]
         if len(first):
-            if wait and (wait[4] or several[0]):
-                rows.append(tuple(np.array([v]) for v in (wait[2], wait[3], wait[0], False)))
+            if wait and (wait[3] or several[0]):
+                rows.append(one())
             several[:-1] |= several[1:].copy()
             keep = first[:-1][several[:-1]]
-            rows.append((ids[keep], ps[keep], h[keep], np.zeros(len(keep), bool)))
+            rows.append((*[x[keep] for x in place], h[keep], np.zeros(len(keep), bool)))
             k = first[-1]
-            wait = (int(h[k]), int(c[k]), int(ids[k]), int(ps[k]), bool(several[-1]))
-        yield _batch(rows, ("id", "ps", "h", "whole"))
-    if wait and wait[4]:
-        yield _batch([tuple(np.array([v]) for v in (wait[2], wait[3], wait[0], False))], ("id", "ps", "h", "whole"))
+            wait = (int(h[k]), int(c[k]), tuple(int(x[k]) for x in place), bool(several[-1]))
+        yield _batch(rows, names)
+    if wait and wait[3]:
+        yield _batch([one()], names)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces (PIECE) of all windows, from packed texts and their places."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
-        for i, packed, places in zip(batch.column(0), batch.column(1), batch.column(2)):
-            raw, i = unpack(packed.as_py()), i.as_py()
+        cols: list[list] = [[] for _ in range(8)]
+        for i, sig, packed, places in zip(*batch.columns):
+            raw, i, sig = unpack(packed.as_py()), i.as_py(), sig.as_py()
             for place in places.as_py():
-                at = place["ps"] >> 24
+                at = place["p"]
                 start = max(0, at - SIDE)
-                for col, v in zip(cols, (place["h"], 0, SIDE, i, place["ps"], at - start, raw[start : at + LENGTH])):
+                for col, v in zip(cols, (place["h"], 0, SIDE, i, at, sig, at - start, raw[start : at + LENGTH])):
                     col.append(v)
         yield _piece_batch(cols)
 
 
 def _piece_batch(cols: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["k", "lo", "hi", "id", "ps", "left", "piece"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["k", "lo", "hi", *PLACE, "left", "piece"])
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each piece under one key for each half of its windows ``lo`` to ``hi``: a hash of the old key
     and of the bytes that all windows of the half hold. Halves without a window are left out."""
     for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
-        for k, lo, hi, i, ps, left, piece in zip(*[c.to_pylist() for c in batch.columns]):
+        cols: list[list] = [[] for _ in range(8)]
+        for k, lo, hi, i, p, sig, left, piece in zip(*[c.to_pylist() for c in batch.columns]):
             begin = SIDE - left
             mid = (lo + hi) // 2
             for a, b in ((lo, mid), (mid + 1, hi)):
@@ -206,7 +215,7 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 common = piece[b - begin : a + LENGTH - begin]
                 key = hashlib.blake2b(common, digest_size=8, key=struct.pack("<qBB", k, a, b)).digest()
-                for col, v in zip(cols, (int.from_bytes(key, "little", signed=True), a, b, i, ps, left, piece)):
+                for col, v in zip(cols, (int.from_bytes(key, "little", signed=True), a, b, i, p, sig, left, piece)):
                     col.append(v)
         yield _piece_batch(cols)
 
@@ -246,14 +255,14 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def spans(rows: list[tuple]) -> pa.RecordBatch:
-        _, lo, hi, ids, ps, left, pieces = zip(*rows)
-        ids, ps, left, lo, hi = [np.array(x, np.int64) for x in (ids, ps, left, lo, hi)]
+        _, lo, hi, ids, at, sigs, left, pieces = zip(*rows)
+        ids, at, sigs, left, lo, hi = [np.array(x, np.int64) for x in (ids, at, sigs, left, lo, hi)]
         place = np.empty(len(rows), np.int64)
-        place[np.lexsort((ps, ids))] = np.arange(len(rows))
+        place[np.lexsort((sigs, at, ids))] = np.arange(len(rows))
         first, last = repeated_windows(left, list(pieces), place, lo, hi)
         hit = first >= 0
-        origin = (ps[hit] >> 24) - SIDE
-        return _batch([(ids[hit], ps[hit] & 0xFFFFFF, origin + first[hit], origin + last[hit] + LENGTH)], ("id", "sig", "a", "b"))
+        origin = at[hit] - SIDE
+        return _batch([(ids[hit], sigs[hit], origin + first[hit], origin + last[hit] + LENGTH)], ("id", "sig", "a", "b"))
 
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns]):
@@ -296,16 +305,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(texts: DataFrame, packed: DataFrame) -> DataFrame:
     """Repeated spans (id, sig, a, b) of texts (id, sig, t)."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(_anchor_rows, "whole boolean, h bigint, c bigint, id bigint, ps bigint")
-    again = hold(found.repartition(n, "h").sortWithinPartitions("whole", "h", "c", "id", "ps").mapInArrow(_again, "id bigint, ps bigint, h bigint, whole boolean"))
-    sig = F.col("ps").bitwiseAND(F.lit(0xFFFFFF)).alias("sig")
-    at = F.shiftright("ps", 24)
-    whole = again.filter("whole").select("id", sig, (at - SIDE).alias("a"), (at + LENGTH).alias("b"))
-    several = again.filter("not whole").select("id", "ps", "h", sig)
+    found = texts.mapInArrow(_anchor_rows, "whole boolean, h bigint, c bigint, id bigint, p bigint, sig bigint")
+    again = hold(found.repartition(n, "h").sortWithinPartitions("whole", "h", "c", *PLACE).mapInArrow(_again, "id bigint, p bigint, sig bigint, h bigint, whole boolean"))
+    whole = again.filter("whole").select("id", "sig", (F.col("p") - SIDE).alias("a"), (F.col("p") + LENGTH).alias("b"))
+    several = again.filter("not whole").select(*PLACE, "h")
 
     def fetched(rows: DataFrame) -> DataFrame:
-        places = rows.groupBy("id", "sig").agg(F.collect_list(F.struct("h", "ps")).alias("places"))
-        return packed.join(places, ["id", "sig"]).select("id", "packed", "places").mapInArrow(_pieces, PIECE)
+        places = rows.groupBy("id", "sig").agg(F.collect_list(F.struct("h", "p")).alias("places"))
+        return packed.join(places, ["id", "sig"]).select("id", "sig", "packed", "places").mapInArrow(_pieces, PIECE)
 
     def resolved(pieces: DataFrame) -> DataFrame:
         return pieces.repartition(n, "k").sortWithinPartitions("k").mapInArrow(_resolved, "id bigint, sig bigint, a bigint, b bigint")
@@ -330,9 +337,9 @@ def spans(texts: DataFrame, packed: DataFrame) -> DataFrame:
 
 def _late(pieces: DataFrame) -> DataFrame:
     """Spans of pieces with one window each: of equal windows all but the earliest."""
-    start = F.shiftright("ps", 24) + F.col("lo") - SIDE
+    start = F.col("p") + F.col("lo") - SIDE
     window = F.expr(f"substring(piece, lo - {SIDE} + left + 1, {LENGTH})")
-    rows = pieces.select("id", start.alias("a"), F.col("ps").bitwiseAND(F.lit(0xFFFFFF)).alias("sig"), window.alias("w"))
+    rows = pieces.select("id", start.alias("a"), "sig", window.alias("w"))
     place = F.struct("id", "a", "sig")  # the same for each anchor of a window
     first = rows.groupBy("w").agg(F.min(place).alias("first"))
     late = rows.join(first, "w").filter(place != F.col("first"))
@@ -341,7 +348,7 @@ def _late(pieces: DataFrame) -> DataFrame:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans`` and the digest of the kept bytes."""
-    sig = F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF)).alias("sig")
+    sig = F.xxhash64(text).alias("sig")
     texts = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), sig, F.col(text).cast("binary").alias("t"))
     packed = texts.mapInArrow(_packed, "id bigint, sig bigint, packed binary")
     merged = spans(texts, packed.dropDuplicates(["id", "sig"])).groupBy("id", "sig").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -266,6 +266,19 @@ def test_repeats_equal_brute_force(spark, texts, monkeypatch, together):
     assert len(twice) == 3 and {r.n_removed for r in twice if r.doc_id is None} == {0}
 
 
+def test_repeats_tell_texts_of_one_id_apart(spark):
+    """Two texts of one id whose hashes share 24 bits: one repeats an earlier text, the other nothing."""
+    rng = random.Random(12)
+    passage, other = prose(rng, 60), prose(rng, 60)
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & 0xFFFFFF
+    seen = {low(f"{passage} {i}"): f"{passage} {i}" for i in range(20_000)}
+    clean = next(t for t in (f"{other} {j}" for j in range(60_000)) if low(t) in seen)
+    rows = repeats.remove_repeats(frame(spark, [passage, seen[low(clean)], clean], [0, 7, 7])).collect()
+    assert sorted((r.doc_id, r.n_removed > 0, r.n_bytes) for r in rows if r.doc_id == 7) == sorted([(7, True, len(seen[low(clean)].encode())), (7, False, len(clean.encode()))])
+    empty = repeats.remove_repeats(frame(spark, ["x"]).limit(0))
+    assert empty.count() == 0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 16))
