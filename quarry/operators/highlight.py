@@ -37,16 +37,17 @@ def phrase_spans(text: str | Column, starts: Column, length: Column) -> Column:
     """Character spans ``(start, end)`` of phrase occurrences from raw-token positions; empty
     when normalization changed the token count."""
     t = F.col(text) if isinstance(text, str) else text
-    pieces = _pieces(t)
-    upto = lambda n: F.length(F.array_join(F.slice(pieces, F.lit(1), n), ""))
-    n_tokens = (F.size(pieces) - 1) / 2
-    span = lambda p: F.struct(
-        upto(2 * p + 1).alias("start"), upto(2 * (p + F.greatest(length, F.lit(1)))).alias("end")
-    )
-    fits = lambda p: (p >= 0) & (p + F.greatest(length, F.lit(1)) - 1 < n_tokens)
-    spans = F.transform(F.filter(starts, fits), span)
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(n_tokens == F.size(tx.tokenize(t)), spans).otherwise(none)
+    wide = F.greatest(length, F.lit(1))
+
+    def spans(of: Column) -> Column:
+        upto = lambda n: F.aggregate(F.slice(of["sizes"], F.lit(1), n), F.lit(0), lambda a, x: a + x)
+        n_tokens = (F.size(of["sizes"]) - 1) / 2
+        span = lambda p: F.struct(upto(2 * p + 1).alias("start"), upto(2 * (p + wide)).alias("end"))
+        found = F.transform(F.filter(starts, lambda p: (p >= 0) & (p + wide - 1 < n_tokens)), span)
+        return F.when(n_tokens == of["n"], found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+    # the text is split once for all its spans
+    return tx.bind(F.struct(F.transform(_pieces(t), F.length).alias("sizes"), F.size(tx.tokenize(t)).alias("n")), spans)
 
 
 def first_word(text: Column, words: Column) -> Column:
