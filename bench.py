@@ -35,7 +35,7 @@ def main():
     spark = local_session(CPUS, "bench")
     spark.sparkContext.setLogLevel("ERROR")
     registered = queries()
-    index = lambda: common.doc_index(spark, SF_DIR)
+    index = lambda: common.listed_index(spark, SF_DIR)
     asked = lambda: common.bench_queries(spark, SF_DIR)
     docs = lambda: common.table(spark, SF_DIR, "documents")
     plain = lambda: docs().selectExpr("doc_id", "text", "1 AS page_count")
