@@ -3,7 +3,8 @@
 Centroids are fitted on a bounded sample; every vector is stored in the folder of its nearest centroid. A query
 reads the folders of its nearest ``probes`` cells only (a partition filter of the scan); with all cells probed the answer is
 that of the exact scan. A cell with more than ``BLOCK_ROWS`` vectors is dealt into blocks, so one hot cell is
-many tasks, and queries of a cell are taken ``QUERIES_PER_GROUP`` at a time.
+many tasks; small cells are bundled, and a query goes to a bundle once, with one bit for each of its cells.
+Queries of a bundle are taken ``QUERIES_PER_GROUP`` at a time.
 
 Vectors with a zero norm have distance 1 to everything, as in the exact scan. Null vectors are not stored.
 """
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,9 @@ ROUNDS = 15
 ROWS_PER_CELL = 8  # of small tables; the number of cells stops at CELLS
 CELLS = 4096
 BLOCK_ROWS = 20_000
-QUERIES_PER_GROUP = 2_000
+QUERIES_PER_GROUP = 20_000
+GROUP_QUERIES = 1_000  # fewest queries of a group that is made for more tasks
+TILE_ROWS = 1_000  # vectors held against all centroids at once
 
 
 @dataclass(frozen=True)
@@ -48,7 +52,7 @@ def centroids(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int
         return np.zeros((1, 1))
     centre = rows[np.random.default_rng(seed).permutation(len(rows))[: min(cells, len(rows))]]
     for _ in range(rounds):
-        near = np.argmax(rows @ centre.T, axis=1)
+        near = np.concatenate([np.argmax(rows[i : i + TILE_ROWS] @ centre.T, axis=1) for i in range(0, len(rows), TILE_ROWS)])
         sums = np.zeros_like(centre)
         np.add.at(sums, near, rows)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -56,14 +60,19 @@ def centroids(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int
     return centre
 
 
+def _closest(rows: np.ndarray, centre: np.ndarray, probes: int) -> np.ndarray:
+    if probes >= len(centre):
+        return np.broadcast_to(np.arange(len(centre), dtype=np.int32), (len(rows), len(centre)))
+    return np.argpartition(-(rows @ centre.T), probes - 1, axis=1)[:, :probes].astype(np.int32)
+
+
 def _assigned(centre: np.ndarray, probes: int, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = unit(batch.column(column).to_pandas()) @ centre.T
-            best = np.argpartition(-near, min(probes, near.shape[1]) - 1, axis=1)[:, :probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(best), pa.list_(pa.int32()))], names=[*batch.schema.names, "near"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TILE_ROWS):
+                batch = whole.slice(at, TILE_ROWS)
+                best = _closest(unit(batch.column(column).to_pandas()), centre, probes)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(best), pa.list_(pa.int32()))], names=[*batch.schema.names, "near"])
 
     return run
 
@@ -99,34 +108,104 @@ def read(spark: SparkSession, path: str) -> InvertedFile:
     return InvertedFile(spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/cells"), np.array(centre.tolist()))
 
 
-def probed(index: InvertedFile, queries: DataFrame, probes: int) -> DataFrame:
-    """query_id, embedding, cell, block, grp: one row for each block that a query reads."""
-    groups = blocks_for(queries.count(), QUERIES_PER_GROUP)
-    near = nearest_cells(queries.select("query_id", "embedding"), index.centroids, probes)
-    rows = near.select("query_id", "embedding", F.explode("near").alias("cell")).join(F.broadcast(index.cells.select("cell", "blocks")), "cell")
-    return rows.select("query_id", F.col("embedding").alias("q_vector"), "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("grp"))
+def bundles(index: InvertedFile) -> list[list[tuple[int, int]]]:
+    """(cell, block) of each bundle: cells in order until they hold ``BLOCK_ROWS`` vectors; a block of a hot cell alone."""
+    made: list[list[tuple[int, int]]] = []
+    room = 0
+    for r in index.cells.orderBy("cell").collect():
+        if r["blocks"] > 1:
+            made += [[(r["cell"], block)] for block in range(r["blocks"])]
+            room = 0
+        elif r["n"] <= room:
+            made[-1].append((r["cell"], 0))
+            room -= r["n"]
+        else:
+            made.append([(r["cell"], 0)])
+            room = BLOCK_ROWS - r["n"]
+    return made
+
+
+def _asked(centre: np.ndarray, probes: int, groups: list[list[tuple[int, int]]]):
+    """A row for each bundle with a probed cell: the query, its bundle and the bits of the bundle's cells (null: all)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = [np.array([c for c, _ in g]) for g in groups]
+        for whole in batches:
+            for at in range(0, whole.num_rows, TILE_ROWS):
+                batch = whole.slice(at, TILE_ROWS)
+                near = _closest(unit(batch.column(1).to_pandas()), centre, probes)
+                wants = np.zeros((len(near), len(centre)), bool)
+                np.put_along_axis(wants, near, True, axis=1)
+                for i, of in enumerate(cells):
+                    bits = wants[:, of]
+                    rows = np.flatnonzero(bits.any(axis=1))
+                    if not len(rows):
+                        continue
+                    taken = batch.take(pa.array(rows))
+                    packed = [None if m.all() else np.packbits(m).tobytes() for m in bits[rows]]
+                    yield pa.RecordBatch.from_arrays(
+                        [taken.column(0), taken.column(1), pa.array(np.full(len(rows), i, np.int32)), pa.array(packed, pa.binary())],
+                        names=["query_id", "q_vector", "bundle", "bits"])
+
+    return run
+
+
+def _wanted(groups: list[list[tuple[int, int]]]):
+    """Distinct (cell, block, bundle) that rows of ``bundle, bits`` ask for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = len(groups[i])
+                mask = np.ones(n, bool) if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+                seen[i] = seen[i] | mask if i in seen else mask
+        rows = [(*groups[i][j], i) for i, mask in seen.items() for j in np.flatnonzero(mask)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in zip(*rows)], names=["cell", "block", "bundle"])
+
+    return run
 
 
 def search(index: InvertedFile, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """``query_id, owner_id, distance, rank``: the best ``k`` of the vectors in the query's ``probes`` nearest cells."""
     spark = queries.sparkSession
-    asked = hold(probed(index, queries.filter("embedding is not null"), min(probes, len(index.centroids))))
     v = index.vectors
     schema = T.StructType([queries.schema["query_id"], v.schema["owner_id"], T.StructField("distance", T.DoubleType())])
-    wanted = asked.select(F.col("cell").alias("_cell"), F.col("block").alias("_block"), F.col("grp").alias("to")).distinct()
+    if k <= 0:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    groups = bundles(index)
+    asked = queries.filter("embedding is not null").select("query_id", F.col("embedding").alias("q_vector"))
+    n, tasks = asked.count(), 2 * spark.sparkContext.defaultParallelism
+    parts = max(blocks_for(n, QUERIES_PER_GROUP), min(blocks_for(n, GROUP_QUERIES), blocks_for(tasks, max(1, len(groups)))))
+    kept = T.StructType([schema["query_id"], asked.schema["q_vector"],
+                         T.StructField("bundle", T.IntegerType()), T.StructField("bits", T.BinaryType())])
+    left = hold(asked.mapInArrow(_asked(index.centroids, min(probes, len(index.centroids)), groups), kept)
+                .withColumn("grp", F.pmod(F.xxhash64("query_id"), F.lit(parts))))
+    wanted = left.select("bundle", "bits").mapInArrow(_wanted(groups), "cell int, block int, bundle int").distinct()
+    wanted = wanted.select(F.col("cell").alias("_cell"), F.col("block").alias("_block"), "bundle")
     read = v.join(small(wanted), (v["cell"] == F.col("_cell")) & (v["block"] == F.col("_block")))
-    right = read.select("cell", "block", "to", "owner_id", F.col("embedding").alias("v_vector"))
+    right = read.select("bundle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("grp"), "cell", "owner_id", F.col("embedding").alias("v_vector"))
     kinds = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+    def bundle(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return kinds.empty_table()
-        found = nearest(a["query_id"].to_numpy(), unit(a["q_vector"].to_pandas()), b["owner_id"].to_numpy(), unit(b["v_vector"].to_pandas()), k)
-        return pa.Table.from_pandas(found, schema=kinds, preserve_index=False)
-
-    if k <= 0:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    rows = asked.groupBy("cell", "block", "grp").cogroup(right.groupBy("cell", "block", "to")).applyInArrow(cell, schema)
+        cells = [c for c, _ in groups[a["bundle"][0].as_py()]]
+        q_ids, q, v_ids, x = a["query_id"].to_numpy(), unit(a["q_vector"].to_pandas()), b["owner_id"].to_numpy(), unit(b["v_vector"].to_pandas())
+        whole = a["bits"].is_null().to_numpy()
+        found = [nearest(q_ids[whole], q[whole], v_ids, x, k)]
+        if not whole.all():
+            some = np.flatnonzero(~whole)
+            packed = np.frombuffer(b"".join(a["bits"].drop_null().to_pylist()), np.uint8).reshape(len(some), -1)
+            bits, cell = np.unpackbits(packed, axis=1, count=len(cells)).astype(bool), b["cell"].to_numpy()
+            for i, c in enumerate(cells):
+                rows, of = some[bits[:, i]], cell == c
+                found.append(nearest(q_ids[rows], q[rows], v_ids[of], x[of], k))
+        out = pd.concat([f for f in found if len(f)]) if any(map(len, found)) else found[0]
+        return pa.Table.from_pandas(out, schema=kinds, preserve_index=False)
+
+    rows = left.groupBy("bundle", "grp").cogroup(right.groupBy("bundle", "grp")).applyInArrow(bundle, schema)
     return top_k(rows, ["query_id"], [F.round("distance", SCORE_DIGITS), F.col("owner_id")], k)
 
 
