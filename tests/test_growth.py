@@ -47,3 +47,13 @@ def test_a_long_vocabulary_is_not_broadcast(spark, monkeypatch):
         assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString() and show(got) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_hits_are_explained(spark):
+    index = ix.held(ix.build(_zones(spark, 60), stemmer="none"))
+    asked = spark.createDataFrame([(1, "w1 w2 u8")], "query_id int, query string")
+    got = rk.search(index, asked, k=2, explain=True)
+    assert got.columns == ["query_id", "doc_id", "score", "explanation", "rank"]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()  # before: every document with a term was explained
+    rows, whole = got.collect(), {r.doc_id: r for r in rk.search(index, asked, k=None, explain=True).collect()}
+    assert len(rows) == 2 and all(whole[r.doc_id] == r for r in rows)
