@@ -1,14 +1,20 @@
-"""Near copies by an exact set-similarity join of word shingles.
+"""Near copies by fingerprints of word shingles, completed by an exact set-similarity join.
 
 Two texts are near copies if the sets of their ``SHINGLE``-word shingles have a Jaccard similarity of at
-least ``SIMILARITY``. The shingles of each distinct set are put in one global order, those that are frequent
+least ``SIMILARITY``. The first links are those of the fingerprint method: the majority fingerprints of the sets that are equal or
+meet in a variant signature (``simhash.links``), each verified on the whole sets. Sets that are similar may still differ in more bits,
+so the exact join adds the links that are missing.
+
+The shingles of each distinct set are put in one global order, those that are frequent
 in a sample last; the sample decides speed only, as any order gives the same pairs. Two similar sets
 share one of their first shingles (prefix filter), have similar sizes (length filter), and behind the first
 common shingle enough is left on both sides (positional filter). What passes is verified on the whole sets.
 
 Equal sets are one node. Each set is first held against the smallest one that it shares a first shingle with, then against one
 of those drawn for its shingles, then, under each shingle, against a drawn one, and only those that are not in one component after that against each other, so a large group
-of near copies does not give all its pairs. Components and their names are those of ``simhash``.
+of near copies does not give all its pairs. In that last step a pair is a candidate only if the ``PARITY`` bits of its sets (one for each
+group of shingles: odd or even) differ in no more places than the sets may differ in shingles, which loses no similar pair. Components and
+their names are those of ``simhash``.
 
 What is stored are the first shingles of each text, not the sets: the sets of candidates are made again from their
 texts. Shingles that are frequent in the sample are dealt to ``SALTS`` groups in the first comparison. Stored tables are deleted.
@@ -20,7 +26,9 @@ and a component whose rows have no id has a null name; an empty table gives no r
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +46,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLE, SEEN, FREQUENT = 16, 3, 100_000  # one text of so many is sampled; least count there; most shingles put last
 SALTS = 16  # groups that a frequent shingle is dealt to
+PARITY = 1024  # bits that bound the difference of two sets; a power of two
 SEED = 42  # fixed value: XXH64 seed of word hashes
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -57,6 +66,23 @@ def shingle_set(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique((h ^ (h >> np.uint64(27))).view(np.int64))
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """Majority of the bits of a set's shingles, as a signed 64-bit integer."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), simhash.BLOCK):
+        part = shingles[at : at + simhash.BLOCK].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")[0])
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the set holds an odd number of each of ``PARITY`` groups of shingles. A shingle that only one of two sets
+    holds changes one bit, so two sets differ in at least as many shingles as bits."""
+    group = (shingles.view(np.uint64) >> np.uint64(65 - PARITY.bit_length())).astype(np.int64)
+    odd = (np.bincount(group, minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _sets(df: DataFrame, keep: list[str], text: str, shingle: int) -> DataFrame:
     def make():
         def of(raw: bytes):
@@ -77,24 +103,26 @@ def _frequent(df: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.nd
 
 
 def _prefixes(df: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """``id_col``, sig, fp, n and ``first``: the first shingles of each set in the global order, with whether they are frequent."""
+    """``id_col``, sig, fp, n, fingerprint (sim), parity bits (odd) and ``first``: the first shingles of each set in the global order, with
+    whether they are frequent."""
     names, counts = _frequent(df, text, shingle)
 
     def make():
         def of(raw: bytes):
             s = shingle_set(raw, shingle)
             fp, n = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), len(s)
+            bits = fingerprint(s), parities(s)
             k = n - math.ceil(similarity * n - 1e-9) + 1
             if not len(names):
-                return fp, n, s[:k], k
+                return fp, n, *bits, s[:k], k
             at = np.minimum(np.searchsorted(names, s), len(names) - 1)
             often = np.where(names[at] == s, counts[at], 0)
             order = np.lexsort((s, often))[:k]
-            return fp, n, s[order], int((often[order] == 0).sum())
+            return fp, n, *bits, s[order], int((often[order] == 0).sum())
 
         return of
 
-    fields = [("fp", "bigint"), ("n", "int"), ("first", "array<bigint>"), ("rare", "int")]
+    fields = [("fp", "bigint"), ("n", "int"), ("sim", "bigint"), ("odd", "array<bigint>"), ("first", "array<bigint>"), ("rare", "int")]
     return map_texts(df.select(id_col, F.xxhash64(text).alias("sig"), text), [id_col, "sig"], make, fields, text)
 
 
@@ -108,6 +136,12 @@ def _may(similarity: float) -> Column:
     return F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) >= _need(F.col("n"), F.col("m"), similarity)
 
 
+def _within(similarity: float) -> Column:
+    """Parity filter of (n, odd) and (m, other_odd)."""
+    bits = [F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("other_odd")[i])) for i in range(PARITY // 64)]
+    return F.col("n") + F.col("m") - functools.reduce(operator.add, bits) >= 2 * _need(F.col("n"), F.col("m"), similarity)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
@@ -143,9 +177,25 @@ def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle
     return found
 
 
+def fingerprint_pairs(rows: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """Pairs (a, b) of ``fp`` whose fingerprints differ in at most ``simhash.MAX_BITS`` bits: of each pair of fingerprints the
+    smallest sets, and each other set with the smallest one of its fingerprint. Held tables are added to ``used``."""
+    nodes = rows.select("fp", "sim").distinct()
+    sims = hold(nodes.groupBy("sim").agg(F.min("fp").alias("least")))
+    near = hold(simhash.links(sims.select(F.col("sim").alias("fp")), used))
+    used += [sims, near]
+    a, b = (sims.select(F.col("sim").alias(c), F.col("least").alias(f"fp_{c}")) for c in "ab")
+    near = near.join(a, "a").join(b, "b").select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b"))
+    same = nodes.join(sims, "sim").filter(F.col("fp") != F.col("least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    return near.unionAll(same)
+
+
 def links(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of ``fp`` that join all similar sets of ``rows`` (fp, n, first, rare): each similar pair is
+    """Pairs (a, b) of ``fp`` that join all similar sets of ``rows`` (fp, n, sim, odd, first, rare): each similar pair is
     among them or in one component by others. ``texts`` gives fp and a packed text of each of some ``fp``."""
+    used: list[DataFrame] = []
+    marked = _verified(fingerprint_pairs(rows, used), texts, shingle, similarity)
+    release(*used)
     each = rows.select("fp", "n", "rare", F.posexplode("first").alias("place", "shingle"))
     salt = F.when(F.col("place") < F.col("rare"), 0).otherwise(1 + F.pmod(F.xxhash64("fp"), F.lit(SALTS))).alias("salt")
     group = Window.partitionBy("shingle", "salt")
@@ -155,9 +205,10 @@ def links(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int
     stars = shared.select(F.col("fp").alias("a"), "n", "place", F.col("least.fp").alias("b"), F.col("least.n").alias("m"), F.col("least.place").alias("other_place"))
     # one comparison for each set settles most of a large group; then those under each shingle that are still apart
     one = stars.filter((F.col("a") != F.col("b")) & _may(similarity)).groupBy("a").agg(F.min("b").alias("b"))
-    found = _verified(one, texts, shingle, similarity)
+    more = _verified(_apart(one, marked), texts, shingle, similarity)
+    found = hold(marked.unionAll(more))
     second = _labelled(shared.select("fp", "n", "place", "shingle"), found)
-    used = [shared, found, second]
+    used = [shared, marked, more, found, second]
     for turn in (1, 2):
         draw = F.struct(F.xxhash64("fp", "shingle", F.lit(turn)), "fp")
         drawn = second.groupBy("shingle").agg(F.min_by(F.struct("fp", "n", "place", "label"), draw).alias("least"))
@@ -169,14 +220,24 @@ def links(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int
         found = hold(found.unionAll(more))
         second = _labelled(second.drop("label"), found)
         used += [more, found, second]
-    a = second
-    b = a.select("shingle", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("label").alias("other"))
-    rest = a.withColumnRenamed("fp", "a").join(b, "shingle").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _may(similarity))
+    a = hold(second.join(rows.select("fp", "odd").dropDuplicates(["fp"]), "fp"))
+    used.append(a)
+    b = a.select("shingle", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("label").alias("other"), F.col("odd").alias("other_odd"))
+    may = (F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _may(similarity) & _within(similarity)
+    rest = a.withColumnRenamed("fp", "a").join(b, "shingle").filter(may)
     out = hold(found.unionAll(_verified(rest, texts, shingle, similarity)))
     release(*used)
     return out
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that ``found`` does not join."""
+    labels = hold(simhash.components(found))
+    left, right = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    named = pairs.join(left, "a", "left").join(right, "b", "left")
+    return named.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
 def _labelled(shared: DataFrame, pairs: DataFrame) -> DataFrame:
     """``shared`` with the component of each set; a shingle with one component has no pair left."""
     named = shared.join(simhash.components(pairs).withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))

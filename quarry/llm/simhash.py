@@ -86,14 +86,16 @@ def _joined(rows: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, on).filter(((F.col("_s") < F.col("_t")) & (F.col("_s") == 0) & (F.col("_t") == 1) | (F.col("_s") == 2) & (F.col("_t") == 2) & (F.col("a") < F.col("b"))) & near).select("a", "b")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Each pair (a, b) of distinct fingerprints in ``fps`` that differ in 1 or 2 bits."""
+def links(fps: DataFrame, used: list[DataFrame] | None = None) -> DataFrame:
+    """Each pair (a, b) of distinct fingerprints in ``fps`` that differ in 1 or 2 bits. Held tables are added to ``used``."""
     c = F.col("fp")
     upper = _variants(c, 32, 32)
     lower = [(33, _bits(c, 0, 32), None)]
     rows = hold(_rows(fps.select("fp"), [*upper, *lower]))
     hot = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key")
     hot = hold(hot)
+    if used is not None:
+        used += [rows, hot]
     if hot.isEmpty():
         return _joined(rows, ["key"])
     few = rows.join(hot, "key", "left_anti")

@@ -125,6 +125,42 @@ def test_near_copies_stage_equals_brute_force(spark):
     assert found == {i: root(i) for i in range(len(made))}
 
 
+def test_near_copies_begin_with_verified_fingerprints(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(150)] for _ in range(8)]
+    made = [" ".join(w) for w in base] + [" ".join([*w[:-1], "other"]) for w in base]
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, *more: asked.append({r.fp for r in fps.collect()}) or links(fps, *more))
+    found = near_copies.near_copies(frame(spark, made)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i % 8 for i in range(16)}
+    sets = [near_copies.shingle_set(t.encode()) for t in made]
+    bits = [near_copies.fingerprint(s) for s in sets]
+    assert asked == [set(bits)]
+    for s, f in zip(sets, bits):
+        whole = [int(x) % 2**64 for x in s]
+        assert f % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in whole) > len(whole))
+    fp = {r.doc_id: r.fp for r in found}
+    nodes = spark.createDataFrame([(fp[i], bits[i]) for i in range(16)], "fp bigint, sim bigint")
+    pairs = {(max(r), min(r)) for r in near_copies.fingerprint_pairs(nodes, []).collect()}
+    near = {(max(fp[i], fp[j]), min(fp[i], fp[j])) for i in range(16) for j in range(i) if ((bits[i] ^ bits[j]) % 2**64).bit_count() <= 2}
+    assert pairs == near and near
+
+
+def test_parities_bound_the_difference_and_spare_comparisons(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 3000):
+        a, b = (np.unique(rng.integers(-(2**63), 2**63 - 1, n)) for _ in range(2))
+        b = np.union1d(a[: n // 2], b)
+        differ = sum(int(x).bit_count() for x in (near_copies.parities(a) ^ near_copies.parities(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b)) and not (near_copies.parities(a) ^ near_copies.parities(a)).any()
+    draw, compared, verified = random.Random(5), [], near_copies._verified
+    words = [f"p{i}" for i in range(100)]
+    made = [" ".join(f"x{k}_{i}" if i in changed else w for i, w in enumerate(words)) for k in range(40) for changed in [set(draw.sample(range(100), 4))]]  # about 0.5 alike
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *more: compared.append(pairs.select("a", "b").distinct().count()) or verified(pairs, *more))
+    assert near_copies.near_copies(frame(spark, made)).select("component_id").distinct().count() > 30
+    assert compared[-1] < 20  # of 780 pairs
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(1)
     given = [prose(rng, rng.randint(1, 60)) for _ in range(300)] + [None, "", "   "]
