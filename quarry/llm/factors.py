@@ -317,11 +317,12 @@ def spans(texts: DataFrame, packed: DataFrame, hot: int = HOT, block: int = BLOC
 
     cold = lookup_join(places, large, ["h"], ["id", "pos"], "left_anti") if some else places
     again = hold(cold.select("h", "c", "e", "id", "sig", "pos").repartition(n, "h").sortWithinPartitions("h", "c", "e", "id", "sig", "pos").mapInArrow(_kinds, "id bigint, sig bigint, pos bigint, h bigint, whole boolean"))
+    frequent = hold(lookup_join(places, large, ["h"], ["id", "pos"], "left_semi")) if some else None
+    release(places)  # before the pieces are fetched, so both are not stored at a time
     out = again.filter("whole").select("id", "sig", *around)
     pieces = fetched(again.filter("not whole")).repartition(n, "k").sortWithinPartitions("k")
     out = out.unionAll(pieces.mapInArrow(_factored(block), SPAN))
     if some:
-        frequent = hold(lookup_join(places, large, ["h"], ["id", "pos"], "left_semi"))
         kinds = hold(frequent.groupBy("h", "c", "e").agg(F.count("*").alias("n"), F.min(F.struct("id", "sig", "pos")).alias("first")))
         equal = lookup_join(frequent, kinds.filter("n > 1").select("h", "c", "e"), ["h", "c", "e"], ["id", "pos"])
         out = out.unionAll(equal.select("id", "sig", *around))
@@ -329,7 +330,7 @@ def spans(texts: DataFrame, packed: DataFrame, hot: int = HOT, block: int = BLOC
         twice = windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
         out = out.unionAll(windows.join(twice, "digest").select("id", "sig", "a", (F.col("a") + LENGTH).alias("b")))
     out = hold(out)
-    release(places, large, again)
+    release(large, again)
     return out
 
 

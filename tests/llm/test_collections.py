@@ -99,6 +99,30 @@ def test_repeated_windows_equal_brute_force(spark, monkeypatch, options):
     assert [rows[i] for i in range(len(made))] == slow_repeats(made)
 
 
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_places_are_deleted_before_pieces_are_fetched(spark, monkeypatch, hot):
+    left, hold, release = [], factors.hold, factors.release
+    stored = lambda df: [c for c in df.columns] == ["h", "c", "e", "id", "sig", "pos"]
+    alive: list = []
+
+    def held(df, *more, **options):
+        left.append(len(alive))
+        made = hold(df, *more, **options)
+        alive.extend([made] * stored(made))
+        return made
+
+    def gone(*frames):
+        alive[:] = [x for x in alive if not any(x is f for f in frames)]
+        release(*frames)
+
+    monkeypatch.setattr(factors, "hold", held)
+    monkeypatch.setattr(factors, "release", gone)
+    made = [" ".join(f"w{(i + k) % 90}" for i in range(80)) for k in range(5)]
+    rows = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in factors.remove_repeats(frame(spark, made), hot=hot).collect()}
+    assert [rows[i] for i in range(len(made))] == slow_repeats(made)
+    assert left[-1] == (hot == 2)  # only the frequent places, if any, are stored when the spans are made
+
+
 def test_repeated_rows_and_null_ids_are_places(spark):
     text = " ".join(f"u{i}" for i in range(50))
     rows = factors.remove_repeats(frame(spark, [text, text, "lone " + text[:40]], ids=[None, None, 5])).collect()
