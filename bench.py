@@ -42,7 +42,8 @@ def main():
     none = lambda: ol.markdown_outline(plain().filter("false"))
 
     def search(**options):
-        return lambda: run(rk.search(index(), asked(), k=100, **options))
+        of = index if not options.get("use_champions") else lambda: common.champion_index(spark, SF_DIR)
+        return lambda: run(rk.search(of(), asked(), k=100, **options))
 
     jobs = {
         "warmup": lambda: run(ix.postings_table(common.doc_zones(spark, SF_DIR)).limit(10)),

@@ -82,3 +82,33 @@ def test_last_version_replaces_all_zones(spark):
     rows = [(1, "heading", "old title", 1), (1, "body", "old body", 1), (1, "body", "new body", 2), (2, "body", "kept", 1)]
     zones = spark.createDataFrame(rows, "doc_id int, zone string, text string, version int")
     assert sorted(map(tuple, ix.latest_documents(zones, "version").select("doc_id", "zone", "text").collect())) == [(1, "body", "new body"), (2, "body", "kept")]
+
+
+def test_lists_come_straight_from_the_texts(spark, indexes, monkeypatch):
+    """One pass gives the lists, lengths and document frequencies that the stored postings give; searches do not need positions."""
+    plain, _, queries = indexes
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdefg", k=2)), " ".join(rng.choices("abcdefghi the running runs".split(), k=rng.randint(0, 9)))) for i in range(90)] + [(95, "", "")]
+    zones = ix.zone_rows(spark.createDataFrame(rows, "doc_id bigint, title string, body string"), {"heading": F.col("title"), "body": F.col("body")})
+    monkeypatch.setattr(lists.build, "__defaults__", ("porter", 16))  # several shards
+    monkeypatch.setattr(lists, "BLOCK_SHARDS", 2)
+    monkeypatch.setattr(lists, "PART_BYTES", 300)
+    made, want = ix.listed(zones, champion_r=5), ix.held(ix.build(zones, champion_r=5))
+    show = lambda df: sorted(map(str, df.collect()))
+    assert made.lists.shards.select("shard").distinct().count() > 3 and made.lists.parts > 3
+    for name in ("dictionary", "zone_stats", "docs"):
+        columns = getattr(want, name).columns
+        assert show(getattr(made, name).select(columns)) == show(getattr(want, name)), name
+    rounded = lambda df: show(df.withColumn("norm", F.round("norm", 12)))
+    assert rounded(made.doc_zone.select(want.doc_zone.columns)) == rounded(want.doc_zone)
+    columns = ["doc_id", "zone", "term", "tf", "zone_len", "norm"]
+    assert rounded(made.postings.select(columns)) == rounded(want.postings.select(columns))
+    asked = spark.createDataFrame([(1, "a b running"), (2, "g i h"), (3, "none")], "query_id int, query string")
+    for options in ({}, {"scheme": "tfidf"}, {"use_champions": True}):
+        assert show(rk.search(made, asked, k=4, **options)) == show(rk.search(want, asked, k=4, **options))
+    assert made.lists.cuts is None
+    cut = ix.with_cuts(made)
+    assert show(ix.champions(cut)) == show(ix.champions(want)) == show(ix.champions(made).select(ix.champions(want).columns))
+    assert show(rk.search(cut, asked, k=4, use_champions=True)) == show(rk.search(want, asked, k=4, use_champions=True))
+    none = ix.listed(zones.filter("doc_id < 0"))
+    assert none.dictionary.count() == 0 and rk.search(none, asked, k=4).count() == 0
