@@ -62,12 +62,17 @@ def parse(queries: DataFrame, stemmer: str = "porter") -> DataFrame:
     return terms
 
 
+def _wanted_docs(index: Index, wanted: DataFrame, checked: bool) -> DataFrame:
+    """Distinct ``lookup, doc_id`` of the terms that are asked for; the others are left out before rows are made distinct."""
+    rows = index.postings.select(F.col("term").alias("lookup"), "doc_id")
+    return lookup_join(rows, wanted.select("lookup").distinct(), ["lookup"], ["doc_id"], "left_semi", checked=checked).distinct()
+
+
 def _operand_docs(index: Index, wanted: DataFrame, keys: list[str], checked: bool) -> DataFrame:
     """Documents that hold every distinct term of a key group (relational division)."""
     need = wanted.groupBy(*keys).agg(F.countDistinct("lookup").alias("_need"))
     terms = wanted.select(*keys, "lookup").distinct().join(need, keys)
-    rows = doc_postings(index.postings).withColumnRenamed("term", "lookup")
-    found = lookup_join(rows, terms, ["lookup"], ["doc_id"], checked=checked)
+    found = lookup_join(_wanted_docs(index, terms, checked), terms, ["lookup"], ["doc_id"], checked=checked)
     return (
         found.groupBy(*keys, "doc_id").agg(F.count(F.lit(1)).alias("_have"), F.first("_need").alias("_need"))
         .filter("_have = _need").select(*keys, "doc_id")
@@ -138,8 +143,7 @@ def trace(index: Index, queries: DataFrame) -> DataFrame:
     terms = hold(terms)
     occurrence = F.row_number().over(Window.partitionBy("query_id", "clause").orderBy("df", "operand", "part"))
     plan = terms.filter("not negated").withColumn("i", occurrence)
-    rows = doc_postings(index.postings).withColumnRenamed("term", "lookup")
-    held = lookup_join(rows, plan.select("query_id", "clause", "lookup", "i"), ["lookup"], ["doc_id"], checked=ok)
+    held = lookup_join(_wanted_docs(index, plan, ok), plan.select("query_id", "clause", "lookup", "i"), ["lookup"], ["doc_id"], checked=ok)
     runs = held.groupBy("query_id", "clause", "doc_id").agg(F.array_sort(F.collect_set("i")).alias("have")).select(
         "query_id", "clause", "doc_id", F.size(F.filter("have", lambda x, p: x == p + 1)).alias("run")
     )

@@ -72,3 +72,15 @@ def test_the_dictionary_is_counted_without_postings(spark, monkeypatch):
     assert show(made.dictionary) == show(want.dictionary) and show(ix.statistics(made)) == show(ix.statistics(want))
     assert show(made.postings) == show(want.postings) and show(made.docs) == show(want.docs)
     assert ix.counted(zones.filter("doc_id = 4")).dictionary.count() == 0
+
+
+def test_stored_postings_are_one_row_for_each_text(spark):
+    zones = _zones(spark, 40).unionByName(_zones(spark, 20).withColumn("zone", F.lit("heading"))).unionByName(
+        spark.createDataFrame([(99, "body", "")], "doc_id bigint, zone string, text string"))
+    made, lazy = ix.held(ix.build(zones)), ix.build(zones)
+    show = lambda df: sorted(map(str, df.collect()))
+    assert made.grouped.count() == 61 < made.postings.count()
+    for name in ("postings", "doc_zone", "docs", "dictionary", "zone_stats"):
+        assert show(getattr(made, name)) == show(getattr(lazy, name)), name
+    assert show(ix.document_terms(made.grouped)) == show(ix.doc_postings(lazy.postings))
+    assert "Exchange" not in ix.document_terms(made.grouped)._jdf.queryExecution().executedPlan().toString()
