@@ -33,6 +33,7 @@ BLOCK_ROWS = 20_000
 QUERIES_PER_GROUP = 20_000
 GROUP_QUERIES = 1_000  # fewest queries of a group that is made for more tasks
 TILE_ROWS = 1_000  # vectors held against all centroids at once
+FOUND_ROWS = 1_000_000  # hits of a task's cells that are held before each query keeps its best
 
 
 @dataclass(frozen=True)
@@ -167,6 +168,16 @@ def _wanted(groups: list[list[tuple[int, int]]]):
     return run
 
 
+def best_of(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The best ``k`` rows of each query in ``found``; equal distances at rank precision by place."""
+    query, place, distance = (np.concatenate([f[c].to_numpy() for f in found]) for c in ("query_id", "owner_id", "distance"))
+    order = np.lexsort((place, np.round(distance, SCORE_DIGITS), query))
+    query, at = query[order], np.arange(len(order))
+    first = np.maximum.accumulate(np.where(np.r_[True, query[1:] != query[:-1]], at, 0)) if len(at) else at
+    kept = order[at - first < k]
+    return pd.DataFrame({"query_id": query[at - first < k], "owner_id": place[kept], "distance": distance[kept]})
+
+
 def search(index: InvertedFile, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """``query_id, owner_id, distance, rank``: the best ``k`` of the vectors in the query's ``probes`` nearest cells."""
     spark = queries.sparkSession
@@ -193,17 +204,25 @@ def search(index: InvertedFile, queries: DataFrame, k: int, probes: int) -> Data
             return kinds.empty_table()
         cells = [c for c, _ in groups[a["bundle"][0].as_py()]]
         q_ids, q, v_ids, x = a["query_id"].to_numpy(), unit(a["q_vector"].to_pandas()), b["owner_id"].to_numpy(), unit(b["v_vector"].to_pandas())
+        by_id = np.argsort(v_ids, kind="stable")
+        v_ids, x, cell = v_ids[by_id], x[by_id], b["cell"].to_numpy()[by_id]  # places then order ties
+        places = np.arange(len(v_ids))
         whole = a["bits"].is_null().to_numpy()
-        found = [nearest(q_ids[whole], q[whole], v_ids, x, k)]
+        rows = np.flatnonzero(whole)
+        best = best_of([nearest(rows, q[rows], places, x, k)], k)
         if not whole.all():
             some = np.flatnonzero(~whole)
             packed = np.frombuffer(b"".join(a["bits"].drop_null().to_pylist()), np.uint8).reshape(len(some), -1)
-            bits, cell = np.unpackbits(packed, axis=1, count=len(cells)).astype(bool), b["cell"].to_numpy()
+            bits = np.unpackbits(packed, axis=1, count=len(cells)).astype(bool)
+            found, most = [best], max(FOUND_ROWS, 2 * k * len(q))
             for i, c in enumerate(cells):
-                rows, of = some[bits[:, i]], cell == c
-                found.append(nearest(q_ids[rows], q[rows], v_ids[of], x[of], k))
-        out = pd.concat([f for f in found if len(f)]) if any(map(len, found)) else found[0]
-        return pa.Table.from_pandas(out, schema=kinds, preserve_index=False)
+                rows, of = some[bits[:, i]], places[cell == c]
+                found.append(nearest(rows, q[rows], of, x[of], k))
+                if sum(map(len, found)) > most:
+                    found = [best_of(found, k)]
+            best = best_of(found, k)
+        best = best.assign(query_id=q_ids[best["query_id"].to_numpy()], owner_id=v_ids[best["owner_id"].to_numpy()])
+        return pa.Table.from_pandas(best, schema=kinds, preserve_index=False)
 
     rows = left.groupBy("bundle", "grp").cogroup(right.groupBy("bundle", "grp")).applyInArrow(bundle, schema)
     return top_k(rows, ["query_id"], [F.round("distance", SCORE_DIGITS), F.col("owner_id")], k)
